@@ -9,6 +9,8 @@ MODULES = {
     "op1_quality_rules": "quality_rules",
     "op4_license_scans": "license_scans",
     "op8_decontamination": "decontamination",
+    "op6_simhash": "simhash",
+    "op9_url_filters": "url_filters",
 }
 
 
