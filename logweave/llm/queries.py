@@ -7,9 +7,11 @@ from importlib import import_module
 #: Query name to module; each module has the query and, where SQL can say it, ORACLE.
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op3_chat_formatting": "chat_formatting",
     "op4_license_scans": "license_scans",
     "op8_decontamination": "decontamination",
     "op6_simhash": "simhash",
+    "op7_secret_scans": "secret_scans",
     "op9_url_filters": "url_filters",
 }
 
