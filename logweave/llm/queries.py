@@ -10,6 +10,7 @@ MODULES = {
     "op3_chat_formatting": "chat_formatting",
     "op4_license_scans": "license_scans",
     "op8_decontamination": "decontamination",
+    "op5_html_extraction": "html_extraction",
     "op6_simhash": "simhash",
     "op7_secret_scans": "secret_scans",
     "op9_url_filters": "url_filters",
