@@ -30,6 +30,7 @@ CELLS = frozenset(("td", "th", "br"))
 DROPPED = frozenset("head script style noscript template nav footer aside form iframe svg math button select textarea input label dialog menu object embed canvas audio video map title".split())
 #: Parts of class, id and role names that mark what isn't the article. Fixed values.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation sidebar breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login comment comments respond replies disqus share sharing social related recommended footer header masthead toolbar pagination pager widget search skip complementary contentinfo".split())
+STATES = frozenset("has with no not without is js".split())
 #: Never template: text of an article may stand on many pages.
 TEXT = frozenset("article main body html head p h1 h2 h3 h4 h5 h6 li blockquote pre table tbody thead tfoot tr td th b i em strong a span br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,7 +47,8 @@ class Node:
         self.tag, self.parent, self.kids, self.names, self.marks = tag, parent, [], (), frozenset()
         if "=" in attrs and (found := _NAMES.findall(attrs)):
             self.names = [n for f in found for n in html.unescape("".join(f)).split()]
-            self.marks = frozenset(w.lower() for n in self.names for w in _WORD.findall(n))
+            each = [{w.lower() for w in _WORD.findall(n)} for n in self.names]
+            self.marks = frozenset(w for words in each if not words & STATES for w in words)  # "has-sidebar" marks no sidebar
 
 
 def parse(page: str) -> Node:
@@ -138,7 +140,10 @@ def _unwanted(node: Node, inside: bool) -> bool:
         return node.tag == "article" and bool({"comment", "reply"} & {n.lower() for n in node.names})
     if node.tag in DROPPED or node.tag == "header" and not inside:
         return True
-    return bool(node.marks & MARKS) and not (node.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and inside)
+    marks = node.marks & MARKS
+    if inside:  # an article's own header has its title
+        return bool(marks - {"header"}) and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")
+    return bool(marks)
 
 
 def main_text(top: Node, template: frozenset[int] = frozenset()) -> str:

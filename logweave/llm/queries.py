@@ -14,6 +14,7 @@ MODULES = {
     "op6_simhash": "simhash",
     "op7_secret_scans": "secret_scans",
     "op9_url_filters": "url_filters",
+    "op10_sentencepiece": "sentencepiece_codec",
 }
 
 
