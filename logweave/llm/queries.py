@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name to module; each module has the query and, where SQL can say it, ORACLE.
 MODULES = {
     "op1_quality_rules": "quality_rules",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_chat_formatting": "chat_formatting",
     "op4_license_scans": "license_scans",
     "op8_decontamination": "decontamination",
