@@ -22,12 +22,39 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose encodings a worker keeps, and words that advance together.
-CACHE, CHUNK = 300_000, 8192
+#: Words whose encodings a worker keeps at least (and twice as many at most), and words that advance together.
+CACHE, CHUNK = 400_000, 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)  # odd: a product with it is one to one
 _NONE = 1 << 30
 
 
+class Sorted:
+    """Sorted 64-bit keys that are spread evenly; their top 16 bits say where to look."""
+
+    def __init__(self, keys: np.ndarray):
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("keys collide")
+        self.keys = np.append(keys, np.uint64(0))
+        self.first = np.searchsorted(keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.first, len(keys))).max())
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each one's place, or the number of keys."""
+        out = np.full(len(h), len(self.keys) - 1, np.int32)
+        left, at = None, self.first[h >> np.uint64(48)]
+        for _ in range(self.most):
+            there = self.keys[at]
+            same = there == h
+            hit = np.flatnonzero(same)
+            out[hit if left is None else left[hit]] = at[hit]
+            go = np.flatnonzero((there < h) & (at < len(self.keys) - 1))
+            if not len(go):
+                break
+            left, h, at = go if left is None else left[go], h[go], at[go] + 1
+        return out
+
+
 class Codec:
     """A SentencePiece BPE model with byte fallback, a dummy prefix and no other normalisation."""
 
@@ -44,9 +71,16 @@ class Codec:
         self.unknown = sp.unk_id()
         self.score = {self.pieces[i]: sp.get_score(i) for i in plain}
         self.control = {i for i in range(n) if sp.is_control(i)}
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("pieces that go on past a space or a line end")
         self._tables(plain)
-        self.cache: dict[str, bytes] = {}
+        self.cache: list[dict[str, bytes]] = [{}, {}]  # by word: at a line's start, and after a space
+        self.older: list[dict[str, bytes]] = [{}, {}]
         self.runs: dict[int, list[int]] = {}
+        high = [i for i, b in self.id_byte.items() if b >= 128]
+        self.special = np.zeros(n, bool)  # ids that decode with others or otherwise
+        self.special[[*high, self.unknown, *self.control]] = True
+        self.shown = [chr(self.id_byte[i]) if i in self.id_byte else p for i, p in enumerate(self.pieces)]
 
     def merged(self, symbols: list[str], last: list | None = None) -> list[str]:
         """BPE one merge at a time: the best scored neighbours, of equal ones the leftmost. The definition, for tables and runs."""
@@ -95,29 +129,33 @@ class Codec:
                     pair[self.ids[p[:k]] << 20 | self.ids[p[k:]]] = ranked_at = int(self.order[i])
                     if ranked_at < 0:  # a piece that no text ends up with still takes part in merging
                         raise ValueError(f"piece {p!r} isn't its own encoding")
-        self.pair_keys = np.array(sorted(pair), np.int64)
-        self.pair_order = np.array([pair[k] for k in self.pair_keys.tolist()], np.int64)
+        mixed = sorted((int(self._mix(np.int64(k))), v) for k, v in pair.items())
+        self.pairs = Sorted(np.array([k for k, _ in mixed], np.uint64))
+        self.pair_order = np.array([v for _, v in mixed] + [_NONE], np.int64)
         self.longest = max(map(len, usable))
         keyed = sorted((int(self._hash(np.array([[*map(ord, p)]], np.uint64))[0]), self.ids[p]) for p in usable)
-        self.keys, self.key_ids = np.array([k for k, _ in keyed], np.uint64), np.array([i for _, i in keyed], np.int64)
-        if len(np.unique(self.keys)) < len(self.keys):
-            raise ValueError("piece keys collide")
+        self.keys = Sorted(np.array([k for k, _ in keyed], np.uint64))
+        self.key_ids = np.array([i for _, i in keyed] + [-1], np.int64)
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
         h = np.zeros(codes.shape[:-1], np.uint64)
         for k in range(codes.shape[-1]):
             h = h * _BASE + codes[..., k] + np.uint64(1)
-        return h
+        return h * _SPREAD
+
+    @staticmethod
+    def _mix(pair: np.ndarray) -> np.ndarray:
+        """A pair's key, one to one, spread over 64 bits."""
+        with np.errstate(over="ignore"):
+            return pair.astype(np.uint64) * _SPREAD
 
     def _follows(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Whether q, p are the encoding of their own text: undoing merges from the seam outwards, no merge across it comes first."""
         ok = np.zeros(len(q), bool)
         at, limit = np.arange(len(q)), np.full(len(q), _NONE)
         while len(at):
-            key = q << 20 | p
-            k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            across = np.where(self.pair_keys[k] == key, self.pair_order[k], _NONE)
+            across = self.pair_order[self.pairs.find(self._mix(q << 20 | p))]
             oq, op = self.order[q], self.order[p]
             left, stay = oq > op, across >= limit
             done = stay & ~left & (op < 0)
@@ -128,16 +166,15 @@ class Codec:
             q, p = np.where(left, self.rights[q], q), np.where(left, p, self.lefts[p])
         return ok
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; -1 for a character that is no piece."""
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, one word's after the other, and where each word's end; -1 for a character that is no piece."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
-        found = []  # by length - 1: ids of the substrings by their start
+        found: list = []  # by length - 1: ids of the substrings by their start
         h = np.zeros((n, size), np.uint64)
         for k in range(min(size, self.longest)):
             h = h[:, : size - k] * _BASE + codes[:, k:] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            found.append(np.where(self.keys[at] == h, self.key_ids[at], -1))
+            found.append(self.key_ids[self.keys.find((h * _SPREAD).ravel())].reshape(h.shape))
         last, back = np.full((n, size + 1), -1), np.zeros((n, size + 1), np.int64)
         rows = np.arange(n)
         for end in range(1, size + 1):
@@ -162,18 +199,16 @@ class Codec:
                 of = best == k
                 table[of] = found[k - 1][of, start[of]]
             last[:, end] = table
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(n, size)
-        live = rows
-        steps = []
+        at, live = np.full(n, size), rows
+        out, k = np.full((n, size), -2), size
         while len(live):
-            steps.append((live, last[live, at[live]]))
-            at[live] -= back[live, at[live]]
+            k -= 1
+            where = at[live]
+            out[live, k] = last[live, where]
+            at[live] = where - back[live, where]
             live = live[at[live] > 0]
-        for live, ids in reversed(steps):
-            for i, x in zip(live.tolist(), ids.tolist(), strict=True):
-                out[i].append(x)
-        return out
+        there = out > -2
+        return out[there].astype(np.int32), np.cumsum(there.sum(1))
 
     def _run(self, n: int) -> list[int]:
         """n spaces."""
@@ -181,31 +216,23 @@ class Codec:
             self.runs[n] = [self.ids[p] for p in self.merged([SPACE] * n)] if n else []
         return self.runs[n]
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words and keeps them: each is a run of spaces, then other characters, or a line end."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        by: dict[int, list[tuple[str, int, str]]] = {}
+    def learn(self, words: set[str], space: int) -> None:
+        """Encodes words without spaces and line ends, at a line's start or (space = 1) after a space, and keeps them."""
+        cache, by = self.cache[space], {}
         for w in words:
-            body = w.lstrip(SPACE)
-            spaces = len(w) - len(body)
-            if not body:
-                self.cache[w] = np.array(self._run(spaces), np.int32).tobytes()
-                continue
-            core = SPACE + body if spaces else body
-            by.setdefault(len(core), []).append((w, spaces, core))
-        for group in by.values():
-            for k in range(0, len(group), max(1, CHUNK * 16 // max(16, len(group[0][2])))):
-                part = group[k : k + max(1, CHUNK * 16 // max(16, len(group[0][2])))]
-                for (w, spaces, core), ids in zip(part, self._viterbi([g[2] for g in part]), strict=True):
-                    if -1 in ids:
-                        ids = self._with_bytes(core, ids)
-                    if spaces > 1:
-                        alone = ids[0] == self.ids[SPACE]
-                        ids = self._run(spaces) + ids[1:] if alone else self._run(spaces - 1) + ids
-                    self.cache[w] = np.array(ids, np.int32).tobytes()
-
-    def _with_bytes(self, core: str, ids: list[int]) -> list[int]:
+            by.setdefault(len(w), []).append(w)
+        for size, group in by.items():
+            step = max(1, CHUNK * 16 // max(16, size))
+            for k in range(0, len(group), step):
+                part = group[k : k + step]
+                ids, ends = self._viterbi([SPACE + w for w in part] if space else part)
+                raw, odd, begin = ids.tobytes(), np.flatnonzero(ids < 0), 0
+                bytewise = set(np.searchsorted(ends, odd, side="right").tolist())
+                for i, (w, end) in enumerate(zip(part, (4 * ends).tolist(), strict=True)):
+                    cache[w] = raw[begin:end] if i not in bytewise else self._with_bytes(SPACE * space + w, ids[begin // 4 : end // 4].tolist())
+                    begin = end
+
+    def _with_bytes(self, core: str, ids: list[int]) -> bytes:
         out, at = [], 0
         for i in ids:
             if i >= 0:
@@ -214,26 +241,81 @@ class Codec:
             else:
                 out += [self.byte_id.get(b, self.unknown) for b in core[at].encode("utf-8", "surrogatepass")]
                 at += 1
-        return out
-
-    _words = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        return np.array(out, np.int32).tobytes()
+
+    def _known(self, words: set[str], space: int) -> dict[str, bytes]:
+        """The cache, with all these words in it. Of two generations the older goes when the newer is full."""
+        if len(self.cache[space]) > CACHE:
+            self.older[space], self.cache[space] = self.cache[space], {}
+        cache, older = self.cache[space], self.older[space]
+        new = words - cache.keys()
+        for w in new & older.keys():
+            cache[w] = older[w]
+        self.learn(new - older.keys(), space)
+        return cache
+
+    _spaced = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+    def _odd_line(self, line: str) -> list[tuple[str, int]]:
+        """Words of a line with runs of spaces: (word, spaces before it); a run at the end has an empty word."""
+        found = self._spaced.findall(line)
+        return [(body := w.lstrip(SPACE), len(w) - len(body)) for w in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as int32 bytes."""
         out = []
-        for k in range(0, len(texts), 256):
-            split = [self._words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[k : k + 256]]
-            new = {w for words in split for w in words if w not in self.cache}
-            if new:
-                if len(self.cache) + len(new) > CACHE:  # then all words of these texts are learnt anew
-                    self.cache.clear()
-                    new = {w for words in split for w in words}
-                self.learn(new)
-            out += [b"".join(map(self.cache.__getitem__, words)) for words in split]
+        for k in range(0, len(texts), 1024):
+            out += self._some(texts[k : k + 1024])
+        return out
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        starts, spaced, plan = set(), set(), []
+        for t in texts:
+            lines = []
+            for n, line in enumerate((" " + t.replace(SPACE, " ")).split("\n") if t else ()):
+                parts = line.split(" ")
+                if "" in parts[1:] or parts[-1:] == [""] and len(parts) > 1:
+                    odd = self._odd_line(line.replace(" ", SPACE))
+                    spaced.update(w for w, m in odd if m and w)
+                    starts.update(w for w, m in odd if not m)
+                    lines.append((n, None, odd))
+                else:
+                    if parts[0]:
+                        starts.add(parts[0])
+                    spaced.update(parts[1:])
+                    lines.append((n, parts[0], parts[1:]))
+            plan.append(lines)
+        first, after = self._known(starts, 0), self._known(spaced, 1)
+        newline = np.array([self.byte_id.get(10, self.unknown)], np.int32).tobytes()
+        alone, get = np.array([self.ids[SPACE]], np.int32).tobytes(), after.__getitem__
+        out = []
+        for lines in plan:
+            raw = []
+            for n, head, rest in lines:
+                if n:
+                    raw.append(newline)
+                if head is not None:
+                    if head:
+                        raw.append(first[head])
+                    raw += map(get, rest)
+                    continue
+                for w, m in rest:
+                    if not m:
+                        raw.append(first[w])
+                    elif not w:
+                        raw.append(np.array(self._run(m), np.int32).tobytes())
+                    elif (ids := after[w])[:4] == alone:  # no piece starts with that space: it stays with the others
+                        raw += [np.array(self._run(m), np.int32).tobytes(), ids[4:]]
+                    else:
+                        raw += [np.array(self._run(m - 1), np.int32).tobytes(), ids]
+            out.append(b"".join(raw))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids: pieces joined, bytes read as UTF-8, the dummy prefix gone."""
+        if not self.special[ids].any():
+            text = "".join(map(self.shown.__getitem__, ids.tolist())).replace(SPACE, " ")
+            return text[1:] if text[:1] == " " else text
         parts, held = [], bytearray()
         pieces, id_byte = self.pieces, self.id_byte
         for i in ids.tolist():
