@@ -109,6 +109,14 @@ def contaminated(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE
     return m.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").cast("long").alias("covered"))
 
 
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that hold no item. Rows are told apart by id and text: one of a null or repeated id goes by itself."""
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(text).alias("th")))
+    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), items, **how)
+    bad = found.select(F.col("doc_id").alias("_bad"))
+    return keyed.join(bad, F.col("_key").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
