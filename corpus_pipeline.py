@@ -38,9 +38,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_pieces, and whether the ids decode to the text."""
-    rows = sentencepiece_codec.decoded(sentencepiece_codec.encoded(docs))
-    same = F.col("decoded") == F.replace("text", F.lit(sentencepiece_codec.SPACE), F.lit(" "))
-    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    rows = sentencepiece_codec.round_trip(docs)
+    return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 STAGES = [

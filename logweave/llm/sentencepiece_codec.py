@@ -23,9 +23,10 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose encodings a worker keeps at least (and twice as many at most), and words that advance together.
-CACHE, CHUNK = 400_000, 8192
+CACHE, CHUNK = 160_000, 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # odd: a product with it is one to one
+_MARKS = ".,;:!?#*$%&|<>\"'()[]{}"
 _NONE = 1 << 30
 
 
@@ -74,6 +75,9 @@ class Codec:
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that go on past a space or a line end")
         self._tables(plain)
+        # marks that no piece has after a letter: words part there, as nothing merges across
+        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        self.marks = "".join(c for c in _MARKS if c not in after)
         self.cache: list[dict[str, bytes]] = [{}, {}]  # by word: at a line's start, and after a space
         self.older: list[dict[str, bytes]] = [{}, {}]
         self.runs: dict[int, list[int]] = {}
@@ -110,8 +114,8 @@ class Codec:
 
     def _tables(self, plain: list[int]) -> None:
         n = len(self.pieces)
-        self.order = np.full(n, -1, np.int64)  # of merging; single characters come before all
-        self.lefts, self.rights = np.arange(n), np.arange(n)
+        self.order = np.full(n, -1, np.int32)  # of merging; single characters come before all
+        self.lefts, self.rights = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
         whole = [i for i in plain if len(self.pieces[i]) > 1 and self.pieces[i].strip(SPACE)]
         ranked = sorted(whole, key=lambda i: (-self.score[self.pieces[i]], i))
         usable = {p for p in self.ids if len(p) == 1}
@@ -131,11 +135,11 @@ class Codec:
                         raise ValueError(f"piece {p!r} isn't its own encoding")
         mixed = sorted((int(self._mix(np.int64(k))), v) for k, v in pair.items())
         self.pairs = Sorted(np.array([k for k, _ in mixed], np.uint64))
-        self.pair_order = np.array([v for _, v in mixed] + [_NONE], np.int64)
+        self.pair_order = np.array([v for _, v in mixed] + [_NONE], np.int32)
         self.longest = max(map(len, usable))
         keyed = sorted((int(self._hash(np.array([[*map(ord, p)]], np.uint64))[0]), self.ids[p]) for p in usable)
         self.keys = Sorted(np.array([k for k, _ in keyed], np.uint64))
-        self.key_ids = np.array([i for _, i in keyed] + [-1], np.int64)
+        self.key_ids = np.array([i for _, i in keyed] + [-1], np.int32)
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -153,9 +157,9 @@ class Codec:
     def _follows(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Whether q, p are the encoding of their own text: undoing merges from the seam outwards, no merge across it comes first."""
         ok = np.zeros(len(q), bool)
-        at, limit = np.arange(len(q)), np.full(len(q), _NONE)
+        at, limit = np.arange(len(q)), np.full(len(q), _NONE, np.int32)
         while len(at):
-            across = self.pair_order[self.pairs.find(self._mix(q << 20 | p))]
+            across = self.pair_order[self.pairs.find(self._mix(q.astype(np.int64) << 20 | p))]
             oq, op = self.order[q], self.order[p]
             left, stay = oq > op, across >= limit
             done = stay & ~left & (op < 0)
@@ -169,46 +173,41 @@ class Codec:
     def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of one length, one word's after the other, and where each word's end; -1 for a character that is no piece."""
         n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
-        found: list = []  # by length - 1: ids of the substrings by their start
-        h = np.zeros((n, size), np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64, order="C") + np.uint64(1)
+        found: list = []  # by length - 1: ids of the substrings, a row for each start
+        h = np.zeros((size, n), np.uint64)
         for k in range(min(size, self.longest)):
-            h = h[:, : size - k] * _BASE + codes[:, k:] + np.uint64(1)
+            h = h[: size - k] * _BASE + codes[k:]
             found.append(self.key_ids[self.keys.find((h * _SPREAD).ravel())].reshape(h.shape))
-        last, back = np.full((n, size + 1), -1), np.zeros((n, size + 1), np.int64)
-        rows = np.arange(n)
+        last, back = np.full((size + 1, n), -1, np.int32), np.zeros((size + 1, n), np.int32)
         for end in range(1, size + 1):
             row, length, piece = [], [], []
             for k in range(1, min(end, self.longest) + 1):
-                ids = found[k - 1][:, end - k]
-                hit = np.flatnonzero((ids >= 0) & ((back[:, end - k] > 0) | (end == k))) if k < end else np.flatnonzero(ids >= 0)
+                ids = found[k - 1][end - k]
+                hit = np.flatnonzero(ids >= 0)
                 row.append(hit)
-                length.append(np.full(len(hit), k))
+                length.append(np.full(len(hit), k, np.int32))
                 piece.append(ids[hit])
             row, length, piece = np.concatenate(row), np.concatenate(length), np.concatenate(piece)
-            before = last[row, end - length]
+            before = last[end - length, row]
             fits = before < 0  # a word's start, or a character that is no piece: nothing merges across
-            ask = ~fits
+            ask = np.flatnonzero(~fits)
             fits[ask] = self._follows(before[ask], piece[ask])
-            best = np.where(found[0][:, end - 1] < 0, 1, 0)  # a character that is no piece stands alone
-            np.maximum.at(best, row[fits], length[fits])
-            back[:, end] = best
-            start = end - best
-            table = np.full(n, -1)
-            for k in np.unique(best[best > 0]):
-                of = best == k
-                table[of] = found[k - 1][of, start[of]]
-            last[:, end] = table
-        at, live = np.full(n, size), rows
-        out, k = np.full((n, size), -2), size
+            row, length, piece = row[fits], length[fits], piece[fits]
+            np.maximum.at(back[end], row, length)
+            best = length == back[end][row]
+            last[end][row[best]] = piece[best]
+            back[end][back[end] == 0] = 1  # a character that is no piece stands alone
+        at, live = np.full(n, size), np.arange(n)
+        out, k = np.full((n, size), -2, np.int32), size
         while len(live):
             k -= 1
             where = at[live]
-            out[live, k] = last[live, where]
-            at[live] = where - back[live, where]
+            out[live, k] = last[where, live]
+            at[live] = where - back[where, live]
             live = live[at[live] > 0]
         there = out > -2
-        return out[there].astype(np.int32), np.cumsum(there.sum(1))
+        return out[there], np.cumsum(there.sum(1))
 
     def _run(self, n: int) -> list[int]:
         """n spaces."""
@@ -218,6 +217,25 @@ class Codec:
 
     def learn(self, words: set[str], space: int) -> None:
         """Encodes words without spaces and line ends, at a line's start or (space = 1) after a space, and keeps them."""
+        marked, whole, marks = [], set(), self.marks
+        for w in words:
+            if w[-1] in marks and (core := w.rstrip(marks))[-1:].isalpha():
+                marked.append((w, core))
+            else:
+                whole.add(w)
+        if marked:
+            tails = self._known({w[len(core) :] for w, core in marked}, 0)
+            cache, older = self.cache[space], self.older[space]
+            cores = {core for _, core in marked} - cache.keys()
+            for w in cores & older.keys():
+                cache[w] = older[w]
+            self._advance(whole | cores - older.keys(), space)
+            for w, core in marked:
+                cache[w] = cache[core] + tails[w[len(core) :]]
+        else:
+            self._advance(whole, space)
+
+    def _advance(self, words: set[str], space: int) -> None:
         cache, by = self.cache[space], {}
         for w in words:
             by.setdefault(len(w), []).append(w)
@@ -226,11 +244,12 @@ class Codec:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 ids, ends = self._viterbi([SPACE + w for w in part] if space else part)
-                raw, odd, begin = ids.tobytes(), np.flatnonzero(ids < 0), 0
-                bytewise = set(np.searchsorted(ends, odd, side="right").tolist())
-                for i, (w, end) in enumerate(zip(part, (4 * ends).tolist(), strict=True)):
-                    cache[w] = raw[begin:end] if i not in bytewise else self._with_bytes(SPACE * space + w, ids[begin // 4 : end // 4].tolist())
-                    begin = end
+                raw, odd = ids.tobytes(), np.flatnonzero(ids < 0)
+                ends = (4 * ends).tolist()
+                cache.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+                if len(odd):
+                    for i in np.unique(np.searchsorted(ends, 4 * odd, side="right")).tolist():
+                        cache[part[i]] = self._with_bytes(SPACE * space + part[i], np.frombuffer(cache[part[i]], np.int32).tolist())
 
     def _with_bytes(self, core: str, ids: list[int]) -> bytes:
         out, at = [], 0
@@ -271,35 +290,41 @@ class Codec:
     def _some(self, texts: list[str]) -> list[bytes]:
         starts, spaced, plan = set(), set(), []
         for t in texts:
-            lines = []
-            for n, line in enumerate((" " + t.replace(SPACE, " ")).split("\n") if t else ()):
-                parts = line.split(" ")
-                if "" in parts[1:] or parts[-1:] == [""] and len(parts) > 1:
+            lines: list = []
+            plan.append(lines)
+            if not t:
+                continue
+            t = " " + t.replace(SPACE, " ")
+            plain = not ("  " in t or " \n" in t or t[-1] == " ")
+            for line in t.split("\n"):
+                if plain or not ("  " in line or line[-1:] == " "):
+                    parts = line.split(" ")
+                    lines.append((True, parts))
+                    words = iter(parts)
+                    starts.add(next(words))
+                    spaced.update(words)
+                else:
                     odd = self._odd_line(line.replace(" ", SPACE))
                     spaced.update(w for w, m in odd if m and w)
                     starts.update(w for w, m in odd if not m)
-                    lines.append((n, None, odd))
-                else:
-                    if parts[0]:
-                        starts.add(parts[0])
-                    spaced.update(parts[1:])
-                    lines.append((n, parts[0], parts[1:]))
-            plan.append(lines)
+                    lines.append((False, odd))
+        starts.discard("")
         first, after = self._known(starts, 0), self._known(spaced, 1)
         newline = np.array([self.byte_id.get(10, self.unknown)], np.int32).tobytes()
         alone, get = np.array([self.ids[SPACE]], np.int32).tobytes(), after.__getitem__
         out = []
         for lines in plan:
             raw = []
-            for n, head, rest in lines:
+            for n, (plain, words) in enumerate(lines):
                 if n:
                     raw.append(newline)
-                if head is not None:
-                    if head:
+                if plain:
+                    rest = iter(words)
+                    if head := next(rest):
                         raw.append(first[head])
                     raw += map(get, rest)
                     continue
-                for w, m in rest:
+                for w, m in words:
                     if not m:
                         raw.append(first[w])
                     elif not w:
@@ -346,6 +371,20 @@ def _bytes(model: str) -> bytes:
         return f.read()
 
 
+def _ids(c: Codec, texts: pa.Array) -> pa.ListArray:
+    raw = c.encode([t or "" for t in texts.to_pylist()])
+    ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)))
+    values = pa.array(np.frombuffer(b"".join(raw), np.int32))
+    mask = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
+
+
+def _texts(c: Codec, rows: pa.ListArray) -> pa.Array:
+    values, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+    nulls = rows.is_null().to_pylist()
+    return pa.array([None if null else c.decode(values[a:b]) for a, b, null in zip(ends, ends[1:], nulls, strict=False)], pa.string())
+
+
 def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` plus ``ids`` (array of int): the model's encoding of the whole text.
 
@@ -353,44 +392,40 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", name: str =
     proportion to its length, however long. Each row by itself; a column of that name is replaced.
     """
     content = _bytes(model)
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        raw = codec(content).encode([t or "" for t in texts.to_pylist()])
-        ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)))
-        values = pa.array(np.frombuffer(b"".join(raw), np.int32))
-        mask = pa.array(np.asarray(texts.is_null().to_numpy(zero_copy_only=False), bool)) if texts.null_count else None
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
-
-    return docs.withColumn(name, encode(F.col(text)))
+    # not deterministic: else each use of the column would encode again
+    return docs.withColumn(name, F.arrow_udf(lambda texts: _ids(codec(content), texts), "array<int>").asNondeterministic()(F.col(text)))
 
 
 def decoded(docs: DataFrame, model: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` plus ``decoded``, the text of the ids; null for null ids. Gives back any encoded text but for U+2581, which
     the model itself takes for a space."""
     content = _bytes(model)
+    return docs.withColumn(name, F.arrow_udf(lambda rows: _texts(codec(content), rows), "string").asNondeterministic()(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
+    """``docs`` plus ``ids``, ``decoded`` and ``round_trip`` (whether that is the text), encoded and decoded in one worker."""
+    content = _bytes(model)
 
-    @F.arrow_udf("string")
-    def decode(rows: pa.Array) -> pa.Array:
-        values, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
-        c = codec(content)
-        out = [None if null else c.decode(values[a:b]) for a, b, null in zip(ends, ends[1:], rows.is_null().to_pylist(), strict=False)]
-        return pa.array(out, pa.string())
+    def both(texts: pa.Array) -> pa.Array:
+        ids = _ids(codec(content), texts)
+        return pa.StructArray.from_arrays([ids, _texts(codec(content), ids)], ["ids", "decoded"])
 
-    return docs.withColumn(name, decode(F.col(ids)))
+    out = docs.withColumn("_b", F.arrow_udf(both, "struct<ids:array<int>,decoded:string>").asNondeterministic()(F.col(text)))
+    out = out.withColumns({"ids": F.col("_b.ids"), "decoded": F.col("_b.decoded")}).drop("_b")
+    return out.withColumn("round_trip", F.col("decoded") == F.replace(text, F.lit(SPACE), F.lit(" ")))
 
 
 def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_sha256 (of the ids joined by spaces), decoded_sha256, round_trip; a null text counts as empty."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = decoded(encoded(rows, model), model)
+    rows = round_trip(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.replace("text", F.lit(SPACE), F.lit(" "))).alias("round_trip"),
+        "round_trip",
     )
 
 
