@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 KINDS = ("assign", "access", "hex", "model")
 #: The patterns of the contract and the least length of the group that counts. Fixed values.
@@ -207,6 +207,7 @@ def secrets(docs: DataFrame, text: str = "text", findings: int = FINDINGS, recal
 
     A null or empty text has none. Whole texts are scanned, each row by itself. A column named secrets is replaced.
     """
+    small_batches(docs.sparkSession)
     net = trained(findings, recall=recall)
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
@@ -219,6 +220,7 @@ def secrets(docs: DataFrame, text: str = "text", findings: int = FINDINGS, recal
 
 def masked(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with each stretch of secrets in the text replaced by ``mark``; a null text stays null."""
+    small_batches(docs.sparkSession)
     net = trained()
 
     @F.pandas_udf("string")

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Texts that are encoded together.
+STEP = 1024
 #: Words whose encodings a worker keeps at least (and twice as many at most), and words that advance together.
-CACHE, CHUNK = 160_000, 8192
+CACHE, CHUNK = 120_000, 8192
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # odd: a product with it is one to one
 _MARKS = ".,;:!?#*$%&|<>\"'()[]{}"
@@ -283,8 +285,8 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as int32 bytes."""
         out = []
-        for k in range(0, len(texts), 1024):
-            out += self._some(texts[k : k + 1024])
+        for k in range(0, len(texts), STEP):
+            out += self._some(texts[k : k + STEP])
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
@@ -391,6 +393,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", name: str =
     A null text has null ids, an empty one none. Characters that are no piece become bytes. A word takes memory in
     proportion to its length, however long. Each row by itself; a column of that name is replaced.
     """
+    small_batches(docs.sparkSession)
     content = _bytes(model)
     # not deterministic: else each use of the column would encode again
     return docs.withColumn(name, F.arrow_udf(lambda texts: _ids(codec(content), texts), "array<int>").asNondeterministic()(F.col(text)))
@@ -399,17 +402,22 @@ def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", name: str =
 def decoded(docs: DataFrame, model: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``docs`` plus ``decoded``, the text of the ids; null for null ids. Gives back any encoded text but for U+2581, which
     the model itself takes for a space."""
+    small_batches(docs.sparkSession)
     content = _bytes(model)
     return docs.withColumn(name, F.arrow_udf(lambda rows: _texts(codec(content), rows), "string").asNondeterministic()(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
     """``docs`` plus ``ids``, ``decoded`` and ``round_trip`` (whether that is the text), encoded and decoded in one worker."""
+    small_batches(docs.sparkSession)
     content = _bytes(model)
 
     def both(texts: pa.Array) -> pa.Array:
-        ids = _ids(codec(content), texts)
-        return pa.StructArray.from_arrays([ids, _texts(codec(content), ids)], ["ids", "decoded"])
+        parts = []
+        for k in range(0, max(1, len(texts)), STEP):
+            ids = _ids(codec(content), texts.slice(k, STEP))
+            parts.append(pa.StructArray.from_arrays([ids, _texts(codec(content), ids)], ["ids", "decoded"]))
+        return pa.concat_arrays(parts)
 
     out = docs.withColumn("_b", F.arrow_udf(both, "struct<ids:array<int>,decoded:string>").asNondeterministic()(F.col(text)))
     out = out.withColumns({"ids": F.col("_b.ids"), "decoded": F.col("_b.decoded")}).drop("_b")

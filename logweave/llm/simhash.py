@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import drop_written, small_batches, table, written
 
 WORDS, RADIUS, MAX_SHARD = 3, 3, 16384
 _CHUNK = 1 << 16
@@ -46,6 +46,8 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, name: str = "fp") -> DataFrame:
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
