@@ -1 +1,40 @@
-"""logweave.functions"""
+"""Name functions over columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def last_module(name: Column) -> Column:
+    return F.element_at(F.split(name, "::"), -1)
+
+
+def dotted(name: Column) -> Column:
+    return F.replace(name, F.lit("::"), F.lit("."))
+
+
+def underscored(name: Column) -> Column:
+    split = F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(F.translate(split, "-", "_"))
+
+
+def message_type(name: Column) -> Column:
+    return underscored(dotted(name))
+
+
+def method_name(name: Column) -> Column:
+    return underscored(last_module(name))
+
+
+def prefixed_type(prefix: Column, name: Column) -> Column:
+    return F.lower(F.concat_ws(".", prefix, name))
+
+
+def class_name(snake: Column) -> Column:
+    return F.replace(F.initcap(F.replace(snake, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+
+
+def step_key(name: Column, args: Column) -> Column:
+    """Key of a workflow step: the same in every process."""
+    return F.sha2(F.to_json(F.struct(name.alias("name"), args.alias("args"))), 256)
