@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 class ConcurrentAppendError(Exception):
     """(stream_id, seq) is taken."""
@@ -58,7 +60,7 @@ def append_next(log: DataFrame, messages: DataFrame, order: str = "arrival") ->
 
 def with_global_seq(rows: DataFrame, order: str, start: int) -> DataFrame:
     """global_seq from start + 1 in the order of a column of unique values, by counts of ranges and numbers within them."""
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     base, total = {}, start
     for p in sorted(sizes):

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 
 def projection(spark: SparkSession, path: str, out: str | None = None) -> DataFrame:
     """Per-user totals of ``events``, kept as state by a stream that takes all there is and ends; equal to the batch fold.
 
     Its checkpoint and output are in ``out``, by default a folder of its own in spark.checkpoint.dir.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    out = out or f"{(shared or 'file://' + tempfile.mkdtemp(prefix='logweave-')).rstrip('/')}/projection-{spark.sql('select uuid()').first()[0]}"
+    out = out or f"{shared_dir(spark)}/projection-{uuid.uuid4().hex}"
     folder, _, name = path.rpartition("/")
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name if name.endswith(".parquet") else "*").parquet(folder)
     state = events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
