@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written  # noqa: F401
+
 #: ASCII white space, as the contracts have it: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -23,16 +23,6 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    key = "spark.checkpoint.dir"
-    where = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="logweave-")
-        spark.conf.set(key, where)
-    return where.rstrip("/")
-
-
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bounds what Spark hands to a Python worker at once, in bytes: rows with long texts come in smaller batches."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -42,14 +32,6 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a lost executor costs a reread, not the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing will read it again."""
     jvm = spark._jvm

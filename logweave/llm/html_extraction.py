@@ -203,14 +203,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 for h, page in zip(frame["host"][k : k + 256], frame["html"][k : k + 256], strict=True):
                     found, body = hashes(parse(page or ""))
                     body = body - (1 << 63)
-                    out += [(h, x - (1 << 63), body) for x in {v for n, v in found.items() if n.tag not in TEXT}]
-                    out.append((h, None, body))
-                yield pd.DataFrame(out, columns=["host", "hash", "body"]).astype({"hash": "Int64", "body": "int64"})
-
-    found = pages.where("host <> ''").select("host", "html").mapInPandas(subtrees, "host string, hash long, body long")
-    counts = found.distinct().groupBy("host", "hash").count()
-    bodies = counts.where("hash is null").select("host", F.col("count").alias("bodies"))
-    many = counts.where(F.col("hash").isNotNull() & (F.col("count") >= min_pages)).join(bodies, "host")
+                    out += [(h, False, x - (1 << 63), body) for x in {v for n, v in found.items() if n.tag not in TEXT}]
+                    out.append((h, True, 0, body))
+                yield pd.DataFrame(out, columns=["host", "page", "hash", "body"]).astype({"page": "bool", "hash": "int64", "body": "int64"})
+
+    found = pages.where("host <> ''").select("host", "html").mapInPandas(subtrees, "host string, page boolean, hash long, body long")
+    counts = found.distinct().groupBy("host", "page", "hash").count()
+    bodies = counts.where("page").select("host", F.col("count").alias("bodies"))
+    many = counts.where(~F.col("page") & (F.col("count") >= min_pages)).join(bodies, "host")
     return many.where(F.col("count") >= min_share * F.col("bodies")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
 
