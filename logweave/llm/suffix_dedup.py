@@ -251,7 +251,8 @@ def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
     """Repeated bytes of docs (doc_id, th, text): (doc_id, th, begin, end), which may overlap and touch."""
     all_ = written(segments(docs, length, gram), "segments")
     shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed")).where("nh > 1")
-    seg = written(all_.join(shared.select("h", "mixed"), "h"), "shared")
+    shared = written(shared.select("h", "mixed"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
+    seg = written(all_.join(shared, "h"), "shared")
     full = seg.where("not mixed").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
     mixed = seg.where("mixed")
     one = written(mixed.groupBy("h", "g").agg(F.count("*").alias("ng"), F.min(F.struct("doc_id", "th", "s", "n", "a")).alias("rep")), "distinct")
