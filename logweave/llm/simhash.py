@@ -179,14 +179,16 @@ def connected(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # written, so that the join deals out both sides, and can split a hub's rows
+        near = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         new = written(small.where("a != b").distinct(), "edges")
         now = mark(new)
         drop_written(e.sparkSession, e)
+        drop_written(e.sparkSession, near)
         e = new
         if now == seen:
             break
