@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import small_batches, table, written
 
 LENGTH, GRAM, PERIOD = 400, 32, 32
 #: Bytes that a worker handles at once: of documents, and of segments in buckets.
-PIECE, BLOCK = 1 << 21, 1 << 21
+PIECE, BLOCK = 1 << 20, 1 << 20
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -249,6 +249,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """Repeated bytes of docs (doc_id, th, text): (doc_id, th, begin, end), which may overlap and touch."""
+    small_batches(docs.sparkSession)
     all_ = written(segments(docs, length, gram), "segments")
     shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed")).where("nh > 1")
     shared = written(shared.select("h", "mixed"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
