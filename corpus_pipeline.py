@@ -17,8 +17,10 @@ from logweave.llm.common import table, written
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
-    kept = quality_rules.quality(docs).where("kept")
-    return kept.withColumns({"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}).select(*docs.columns)
+    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    rest = F.struct(*[F.col(c) for c in docs.columns if c not in new])  # packed, so that none clashes with the rules' results
+    kept = quality_rules.quality(docs.select("text", rest.alias("_rest"))).where("kept")
+    return kept.select(*[new.get(c, F.col("_rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
