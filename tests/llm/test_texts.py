@@ -161,3 +161,39 @@ def test_pipeline(spark):
     assert all(not slow_base(r["text"]) for r in steps["secret_scans"].values())
     assert set(steps["sentencepiece"]) == set(steps["decontamination"]) and all(r["round_trip"] for r in steps["sentencepiece"].values())
     assert corpus_pipeline.run(spark, d).count() == len(steps["sentencepiece"])
+
+
+def test_stages_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, a very long text, clashing names, empty tables: all stages, each on the same rows."""
+    import corpus_pipeline
+
+    prose = "The old mill by the river was built long before anyone in the village was born. It still grinds a little flour each autumn."
+    long = " ".join(f"Sentence {i} tells of the {i}th stone." for i in range(20000))
+    item = "which planet of the solar system has the largest number of known moons today"
+    texts = [None, "", prose, prose, long, prose + " And then: " + item + "."]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, cleaned string, secrets string, ids string, items string, fp string"
+    rows = [(None if i == 2 else i, t, None, None, None, *["x"] * 6) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[4]], schema)
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts = {"quality_rules": 5, "simhash": 4, "decontamination": 6, "secret_scans": 7, "sentencepiece": 7}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        assert len(found) == counts[name], name
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+            assert {(r["kept"], r["cleaned"], r["secrets"], r["ids"], r["items"], r["fp"], r["lang"]) for r in found} == {(*["x"] * 6, None)}
+        assert stage(spark, docs.limit(0), str(tmp_path)).isEmpty()
+
+
+def test_pages_odd_rows(spark):
+    from logweave.llm import url_filters as U
+
+    deep = "<div>" * 30000 + "deep" + "</div>" * 30000
+    rows = [(1, None, None), (1, None, None), (None, "", ""), (2, "http://h.org/", deep), (3, "http://h.org/", "<p>" + "word " * 200000)]
+    pages = spark.createDataFrame([(*r, *["x"] * 4) for r in rows], "page_id long, url string, html string, text string, host string, verdict string, hashes string")
+    got = sorted((r["page_id"] or 0, r["text"]) for r in H.extracted(pages).collect())
+    assert got == [(0, ""), (1, ""), (1, ""), (2, "deep"), (3, ("word " * 200000).strip())]
+    assert H.extracted(pages.limit(0)).isEmpty()
+    assert {r["verdict"] for r in U.judged(pages).where("url is null or url = ''").collect()} == {"allow"}
+    assert U.judged(pages).count() == 5 and U.judged(pages.limit(0)).isEmpty()
