@@ -257,8 +257,10 @@ def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
     full = seg.where("not mixed").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
     mixed = seg.where("mixed")
     one = written(mixed.groupBy("h", "g").agg(F.count("*").alias("ng"), F.min(F.struct("doc_id", "th", "s", "n", "a")).alias("rep")), "distinct")
-    twice = one.where("ng > 1").select("h", "g")
-    copies = mixed.join(twice, ["h", "g"]).select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
+    # what occurs twice is all but what occurs once: told by the segment's own place, so that no copied segment's rows meet in one task
+    once = one.where("ng = 1").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), F.col("rep.s").alias("_s"))
+    place = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col("s") == F.col("_s"))
+    copies = mixed.join(once, place, "left_anti").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
     parts = one.groupBy("h").agg(F.least(F.lit(64), F.ceil(F.count("*") * (1.5 * length) / block)).cast("int").alias("parts")).where("parts > 1")
     want = one.join(parts, "h", "left").select("h", "ng", F.coalesce("parts", F.lit(1)).alias("parts"), "rep.*")
     want = want.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ng", "parts", "s", "n", "a")).alias("want"))
