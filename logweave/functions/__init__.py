@@ -38,3 +38,8 @@ def class_name(snake: Column) -> Column:
 def step_key(name: Column, args: Column) -> Column:
     """Key of a workflow step: the same in every process."""
     return F.sha2(F.to_json(F.struct(name.alias("name"), args.alias("args"))), 256)
+
+
+def class_name(name: Column) -> Column:
+    """snake_case to ClassName."""
+    return F.replace(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))

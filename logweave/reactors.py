@@ -220,6 +220,9 @@ class Memory:
         out = []
         for m in messages:
             last = max((x.seq for x in self.log if x.stream_id == m.stream_id), default=0)
+            if any(x.id == m.id for x in self.log):  # the same was said before: its number tells them apart
+                own = {k: "" for k in ("causation_id", "correlation_id") if getattr(m, k) == m.id}
+                m = replace(m, id="", seq=last + 1, **own)
             out.append(replace(m, seq=last + 1))
             self.log.append(out[-1])
         return out
@@ -235,7 +238,8 @@ class Memory:
 
     def promote(self, now: datetime, limit: int = 100) -> int:
         due = [m for m in self.scheduled if m.created_at <= now][:limit]
-        self.scheduled = [m for m in self.scheduled if m not in due]
+        taken = {id(m) for m in due}
+        self.scheduled = [m for m in self.scheduled if id(m) not in taken]
         self.append_next(replace(m, created_at=now) for m in due)
         return len(due)
 

@@ -24,3 +24,15 @@ def projection(spark: SparkSession, path: str, out: str | None = None) -> DataFr
     query.awaitTermination()
     last = query.lastProgress["batchId"]
     return spark.read.parquet(f"{out}/state-{last:09d}")
+
+
+def sink(stream: DataFrame, step, out: str, checkpoint: str):
+    """Runs a stream to the end of what there is, writing ``step(batch)`` of each micro-batch under its number: a batch done
+    again after a failure replaces what it wrote. ``step`` is any DataFrame function, such as reactions or run_actor."""
+
+    def publish(df: DataFrame, n: int) -> None:
+        step(df).write.mode("overwrite").parquet(f"{out}/batch={n:09d}")
+
+    query = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
