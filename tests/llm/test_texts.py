@@ -4,13 +4,17 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logweave.llm import chat_formatting as C
+from logweave.llm import decontamination as D
 from logweave.llm import html_extraction as H
+from logweave.llm import quality_rules as Q
 from logweave.llm import secret_scans as S
 from logweave.llm import sentencepiece_codec as P
 
@@ -141,6 +145,14 @@ def test_codec_odd_rows(spark, odd):
     assert P.round_trip(odd).where("not round_trip").isEmpty() and P.encoded(odd.limit(0)).isEmpty()
 
 
+def by_sql(sql, condition, d, documents):
+    """doc_ids for which an operator's SQL says so."""
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.execute(f"create view benchmark as select * from '{d}/benchmark.parquet'")
+    return {r[0] for r in con.sql(f"select doc_id from ({sql}) where {condition}").fetchall()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -157,7 +169,9 @@ def test_pipeline(spark):
     kept = sorted(steps["quality_rules"])
     fps = [fingerprint(steps["quality_rules"][i]["text"], 5) & (1 << 64) - 1 for i in kept]
     assert sorted(steps["simhash"]) == sorted({kept[c] for c in slow_components(fps)})
-    assert set(steps["decontamination"]) <= set(steps["simhash"])
+    assert set(steps["quality_rules"]) == by_sql(Q.ORACLE, "kept", d, spark.read.parquet(f"{d}/documents.parquet").toPandas())
+    left = pd.DataFrame([(i, r["text"]) for i, r in steps["simhash"].items()], columns=["doc_id", "text"])
+    assert set(steps["decontamination"]) == by_sql(D.ORACLE, "not contaminated", d, left) < set(steps["simhash"])
     assert all(not slow_base(r["text"]) for r in steps["secret_scans"].values())
     assert set(steps["sentencepiece"]) == set(steps["decontamination"]) and all(r["round_trip"] for r in steps["sentencepiece"].values())
     assert corpus_pipeline.run(spark, d).count() == len(steps["sentencepiece"])
