@@ -1,9 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, each link confirmed exactly.
+"""Exact Jaccard similarity of word shingles, for texts that SimHash found near each other.
 
-A text is its set of shingles; equal sets are one. Sets of similarity 0.8 agree in one of BANDS bands of ROWS minima but
-for 1 in a million. Sets that share a band are linked in a star, the stars' components are clusters, and each set's text
-goes once to the task of its cluster, where shared shingles are counted: no pair becomes a row, and only links of the
-wanted similarity stay. A cluster beyond ``most`` texts or BYTES of text is cut into parts that all meet each other.
+Each different shingle set's text goes once to the task of its cluster, where shared shingles are counted: no pair becomes
+a row, and only links of the wanted similarity stay. A cluster beyond ``most`` texts or BYTES of text is cut into parts
+that all meet each other.
 """
 
 from __future__ import annotations
@@ -11,21 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
-from .simhash import connected, union
+from .common import union, written
 
 #: Similarity of near copies, as a fraction; words in a shingle.
 SIMILAR, WORDS = (4, 5), 5
-BANDS, ROWS = 46, 6
 #: Texts and characters of a cluster that a task compares at once.
-MOST, BYTES = 1024, 8 << 20
-_R = np.random.default_rng(64)
-_SEED, _ODD = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64), _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+MOST, BYTES = 4096, 16 << 20
+_CHUNK = 1 << 16
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -39,110 +34,85 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(found[i : i + words]), 42) for i in range(max(1, len(found) - words + 1))), np.uint64))
 
 
-def sketch(found: np.ndarray) -> tuple[int, list[int]]:
-    """The set's hash and its bands', as signed longs; of an empty set, zero and no band."""
+def digest(found: np.ndarray) -> int:
+    """The set's hash as a signed long, zero if it is empty."""
     import xxhash
 
-    if not len(found):
-        return 0, []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 256):
-        least = np.minimum(least, ((found[k : k + 256, None] ^ _SEED) * _ODD).min(0))
-    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))]
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)), np.array(bands, np.uint64).view(np.int64).tolist()
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64)) if len(found) else 0
 
 
-def with_sketch(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """``docs`` plus ``_sketch``: the hash of the shingle set, and its bands'."""
-    small_batches(docs.sparkSession)
+def similar(sets: list[np.ndarray], least: tuple[int, int] = SIMILAR, tries: int = 8) -> np.ndarray:
+    """Each set's smallest index that links lead to, empty sets being like none.
 
-    @F.pandas_udf("struct<set:bigint,bands:array<bigint>>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sketch(shingles(t, words)) for t in texts], columns=["set", "bands"])
-
-    return docs.withColumn("_sketch", of(F.col(text)))
-
-
-def similar(sets: list[np.ndarray], left: np.ndarray, similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """Each set's smallest index that links lead to. Sets of the left are compared with all others; if all are, each with each,
-    else the right ones with the left ones only."""
-    sizes = np.array([len(s) for s in sets])
-    label = np.arange(len(sets))
-    nodes = np.flatnonzero(left)
-    ask = nodes if left.all() else np.flatnonzero(~left)
-    if not len(nodes) or not len(ask):
+    A few sets are compared with all first; what the largest star of them holds is linked by its centre, so only the
+    other sets are compared with all.
+    """
+    label, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    if len(sets) < 2 or not sizes.any():
         return label
-    hashes = np.concatenate([sets[i] for i in nodes])
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], np.repeat(nodes, sizes[nodes])[order]
-    for q in ask.tolist():
-        low, high = np.searchsorted(hashes, sets[q]), np.searchsorted(hashes, sets[q], side="right")
-        n = high - low
+    hashes, owner = hashes[order], owner[order]
+
+    def near(q: int) -> np.ndarray:
+        low, n = np.searchsorted(hashes, sets[q]), np.searchsorted(hashes, sets[q], side="right")
+        n = n - low
         at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         both = np.bincount(owner[at], minlength=len(sets))
-        near = np.flatnonzero(both * similar[1] >= (sizes + sizes[q] - both) * similar[0])
-        near = near[(near != q) & (both[near] > 0)]
-        if len(near):
-            union(label, np.full(len(near), q), near)
+        return np.flatnonzero((both * least[1] >= (sizes + sizes[q] - both) * least[0]) & (both > 0))
+
+    free, star, asked = np.ones(len(sets), bool), np.empty(0, np.int64), []
+    for _ in range(tries):
+        left = np.flatnonzero(free)
+        if not len(left):
+            break
+        asked.append(int(left[0]))
+        found = near(asked[-1])
+        union(label, np.full(len(found), asked[-1]), found)
+        free[asked[-1]] = False
+        free[found] = False
+        star = found if len(found) > len(star) else star
+    ask = np.ones(len(sets), bool)
+    ask[star] = False
+    ask[asked] = False
+    for q in np.flatnonzero(ask).tolist():
+        found = near(q)
+        union(label, np.full(len(found), q), found)
     return label
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, set, left, text) sorted by shard: yields (a, b), b the root of a in the shard. Whole shards at a time."""
-    shard, ids, left, sets = None, [], [], []
+    """Rows (shard, id, text) sorted by shard: yields (a, b), b the root of a in the shard. Whole shards at a time."""
+    shard, ids, sets = None, [], []
 
     def out() -> pa.RecordBatch:
-        label = similar(sets, np.array(left, bool), least)
+        label = similar(sets, least)
         moved = np.flatnonzero(label != np.arange(len(label)))
         mine = np.array(ids, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(mine[moved]), pa.array(mine[label[moved]])], ["a", "b"])
 
     for batch in batches:
-        for key, id_, side, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for key, id_, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if key != shard:
                 if ids:
                     yield out()
-                shard, ids, left, sets = key, [], [], []
+                shard, ids, sets = key, [], []
             ids.append(id_)
-            left.append(side)
             sets.append(shingles(text, words))
     if ids:
         yield out()
 
 
-def links(rows: DataFrame, text: str, words: int = WORDS, least: tuple[int, int] = SIMILAR, most: int = MOST) -> DataFrame:
-    """(a, b): set hashes that links of the wanted similarity connect. rows: a row for each text, with ``_sketch``."""
-    keys = rows.select(F.col("_sketch.set").alias("set"), F.explode("_sketch.bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("set").alias("m"), F.max("set").alias("n")).where("m < n").select("key", "m")
-    shared = written(shared, "bands")  # so that the join deals out both sides, and can split a hot band's rows
-    stars = keys.join(shared, "key").where("set <> m").select(F.col("set").alias("a"), F.col("m").alias("b")).distinct()
-    cluster = connected(stars)
-    cluster = cluster.unionByName(cluster.select(F.col("root").alias("id"), "root")).distinct().select(F.col("id").alias("_id"), F.col("root").alias("_cluster"))
-    # one text of each set; which one doesn't matter, as their sets are equal
-    texts = rows.select(F.col("_sketch.set").alias("_id"), F.col(text).alias("_text")).join(cluster, "_id").dropDuplicates(["_id"])
-    texts = written(texts, "clusters")
-    parts = F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("_text")) / BYTES))
-    cut = texts.groupBy("_cluster").agg(parts.alias("_parts")).where("_parts > 1")
-    texts = texts.join(cut, "_cluster", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    texts = texts.withColumn("_mine", F.pmod(F.xxhash64("_id"), F.col("_parts")))
-    texts = texts.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
-    rows = texts.select(F.xxhash64("_cluster", low, high).alias("shard"), "_id", (F.col("_mine") == low).alias("left"), "_text")
+def confirmed(texts: DataFrame, near: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, most: int = MOST) -> DataFrame:
+    """(a, b): ids that links of the wanted similarity connect. texts (id, text): equal ids have equal sets; near (id, root): clusters."""
+    cluster = near.unionByName(near.select(F.col("root").alias("id"), "root")).distinct().select("id", F.col("root").alias("cluster"))
+    texts = written(texts.join(cluster, "id").dropDuplicates(["id"]), "clusters")
+    parts = F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("text")) / BYTES) * 2)  # two parts meet in a task
+    cut = texts.groupBy("cluster").agg(F.when((F.count("*") > most) | (F.sum(F.length("text")) > BYTES), parts).alias("parts")).where("parts > 1")
+    texts = texts.join(written(cut, "cut"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    texts = texts.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    rows = texts.select(F.xxhash64("cluster", low, high).alias("shard"), "id", "text")
     rows = rows.repartition("shard").sortWithinPartitions("shard")
     return rows.mapInArrow(lambda it: _confirm(it, words, least), "a long, b long")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", words: int = WORDS, least: tuple[int, int] = SIMILAR, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near copies, chains included, the document with the smallest id, once.
-
-    Null and wordless texts are copies of each other. A null id stays only where all of its group are null.
-    """
-    rows = written(with_sketch(docs.withColumnRenamed(doc, "_doc"), text, words), "sketches")
-    found = connected(links(rows, text, words, least, most)).select(F.col("id").alias("_id"), F.col("root").alias("_root"))
-    each = rows.groupBy(F.col("_sketch.set").alias("_id")).agg(F.min("_doc").alias("_least")).join(found, "_id", "left")
-    each = each.withColumn("_root", F.coalesce("_root", "_id"))
-    groups = each.groupBy("_root").agg(F.min("_least").alias("_least"))
-    # only the set that has the group's least id can hold the row that stays
-    kept = each.join(groups.withColumnRenamed("_least", "_first"), "_root").where(F.col("_least").eqNullSafe(F.col("_first"))).select("_id", "_root", "_first")
-    out = rows.withColumn("_id", F.col("_sketch.set")).join(kept, "_id").where(F.col("_doc").eqNullSafe(F.col("_first")))
-    return out.dropDuplicates(["_root"]).withColumnRenamed("_doc", doc).select(*docs.columns)

@@ -4,8 +4,12 @@ Fingerprints within ``radius`` bits agree on one of radius + 1 blocks, so each g
 radius + 1 shards (block, value). A shard is one BK-tree: children hang on integer Hamming distances, a query follows
 only the edges within the radius. Trees of a task's shards are built and walked level by level in numpy arrays.
 The trees go to the tasks that hold their queries (one shuffle): together they grow with the corpus, so they are
-not broadcast. A shard of over ``max_shard`` fingerprints is cut into parts, each a tree of its own, and queries
-meet every part: memory stays bounded and no link is lost. A shard gives each fingerprint's local root, not pairs.
+not broadcast. A shard of over ``max_shard`` fingerprints is cut into parts that all meet each other: memory stays
+bounded and no link is lost. A shard gives each fingerprint's local root, not pairs.
+
+``one_of_each`` takes near copies by similarity instead: each text has SEEDS fingerprints of its set of shingles, shards
+are blocks of 16 bits of any of them, trees find what lies within WIDE_RADIUS of 128 bits, and each link found is
+confirmed by counting shared shingles (``jaccard``).
 """
 
 from __future__ import annotations
@@ -18,10 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, small_batches, table, written
+from . import jaccard
+from .common import drop_written, small_batches, table, union, written
 
 WORDS, RADIUS, MAX_SHARD = 3, 3, 16384
+#: Fingerprints of a text's shingle set when near copies are sought by similarity; distance of two words (128 bits) up to which
+#: texts are compared. At a similarity of 0.8 a bit differs with a chance of 0.15: two texts share a shard and lie within the
+#: radius with a chance of 0.99; at 0.85 all but 1 in 1,600 pairs do. Texts of nothing in common lie so near once in 10 million.
+SEEDS, WIDE_RADIUS = 16, 28
 _CHUNK = 1 << 16
+_R = np.random.default_rng(64)
+_SEED, _ODD = _R.integers(0, 1 << 63, SEEDS, np.uint64), _R.integers(0, 1 << 63, SEEDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the n rows have each bit; sums of up to 255 rows fit a byte, so they are added as bytes."""
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for k in range(0, len(hashes), 255):
+        counts += np.add.reduce(np.unpackbits(hashes[k : k + 255].view(np.uint8), axis=1, bitorder="little"), 0, np.uint8)
+    return counts
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -41,7 +60,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     n, counts, digest = len(starts), np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for k in range(0, n, _CHUNK):
         h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + _CHUNK].tolist(), ends[k : k + _CHUNK].tolist(), strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        counts += bit_counts(h[:, None])
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.int64)[0])
 
 
@@ -55,14 +74,20 @@ def with_fingerprint(docs: DataFrame, text: str = "text", words: int = WORDS, na
     return docs.withColumn(name, fp(F.col(text)))
 
 
+def distance(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows a and b of fps (n, words of 64 bits)."""
+    return np.bitwise_count(fps[a] ^ fps[b]).sum(1, dtype=np.int64)
+
+
 def forest(shard: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BK-trees of runs of equal shard: each node's root; and the edges, keys (65 * parent + distance) sorted, with their child."""
+    """BK-trees of runs of equal shard: each node's root; and the edges, keys (wide * parent + distance) sorted, with their child."""
+    wide = 64 * fps.shape[1] + 1
     first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
     root = np.repeat(first, np.diff(np.r_[first, len(shard)]))
     at, left = root.copy(), np.setdiff1d(np.arange(len(shard)), first)
     keys, kids = [], []
     while len(left):
-        key = at[left] * 65 + np.bitwise_count(fps[left] ^ fps[at[left]])
+        key = at[left] * wide + distance(fps, left, at[left])
         found, where, back = np.unique(key, return_index=True, return_inverse=True)
         keys.append(found)
         kids.append(left[where])
@@ -77,45 +102,57 @@ def forest(shard: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def search(fps: np.ndarray, keys: np.ndarray, kids: np.ndarray, query: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) within the radius; only edges of distance d - radius to d + radius are followed."""
+    wide = 64 * fps.shape[1] + 1
     q, node, found = query, root, []
     while len(q):
-        d = np.bitwise_count(fps[q] ^ fps[node]).astype(np.int64)
+        d = distance(fps, q, node)
         near = (d <= radius) & (q != node)
         found.append((q[near], node[near]))
-        low = np.searchsorted(keys, node * 65 + np.maximum(d - radius, 0))
-        n = np.searchsorted(keys, node * 65 + np.minimum(d + radius, 64), side="right") - low
+        low = np.searchsorted(keys, node * wide + np.maximum(d - radius, 0))
+        n = np.searchsorted(keys, node * wide + np.minimum(d + radius, wide - 1), side="right") - low
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         q, node = np.repeat(q, n), kids[np.repeat(low, n) + step]
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of a and b; labels are the smallest member."""
-    while True:
-        x, y = label[a], label[b]
-        apart = x != y
-        if not apart.any():
-            return
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
-def local_roots(shard: np.ndarray, fps: np.ndarray, tree: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For rows sorted by shard: each one's smallest index in its shard that links lead to. tree: rows that are nodes; all are queries.
-    Of a cut shard, the part that is the tree comes as nodes, the other part as queries only."""
-    nodes = np.flatnonzero(tree)
+def stars(shard: np.ndarray, fps: np.ndarray, radius: int, tries: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Of each shard (rows sorted by it) the largest of a few stars: (rows, centres), all within the radius of their centre."""
+    first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+    sizes = np.diff(np.r_[first, len(shard)])
+    most, best = np.zeros(len(first), np.int64), first
+    for k in range(tries):
+        centre = first + sizes * k // tries
+        n = np.add.reduceat((distance(fps, np.arange(len(fps)), np.repeat(centre, sizes)) <= radius).astype(np.int64), first)
+        best, most = np.where(n > most, centre, best), np.maximum(most, n)
+    centre = np.repeat(best, sizes)
+    rows = np.flatnonzero(distance(fps, np.arange(len(fps)), centre) <= radius)
+    return rows, centre[rows]
+
+
+def local_roots(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For rows sorted by shard, fps (n, words): each one's smallest index in its shard that links lead to.
+
+    Members of a shard's largest star are linked by their centre, so the trees hold the other rows only, and all rows
+    query them: a shard of near copies costs no pairs.
+    """
     label = np.arange(len(fps))
+    if not len(fps):
+        return label
+    wide = 64 * fps.shape[1] + 1
+    rows, centre = stars(shard, fps, radius)
+    union(label, rows, centre)
+    tree = np.ones(len(fps), bool)
+    tree[rows] = False
+    nodes = np.flatnonzero(tree)
     if not len(nodes):
         return label
     _, keys, kids = forest(shard[nodes], fps[nodes])
-    keys, kids = nodes[keys // 65] * 65 + keys % 65, nodes[kids] if len(kids) else kids
+    keys, kids = nodes[keys // wide] * wide + keys % wide, nodes[kids] if len(kids) else kids
     begin = np.searchsorted(shard[nodes], shard)
     there = begin < len(nodes)
     there[there] = shard[nodes[begin[there]]] == shard[there]
     query, root = np.flatnonzero(there), nodes[begin[there]]
-    most = int(np.unique(shard, return_counts=True)[1].max())
+    most = int(np.unique(shard[nodes], return_counts=True)[1].max())
     step = max(1, min(_CHUNK, (1 << 21) // most))
     for k in range(0, len(query), step):
         union(label, *search(fps, keys, kids, query[k : k + step], root[k : k + step], radius))
@@ -123,46 +160,58 @@ def local_roots(shard: np.ndarray, fps: np.ndarray, tree: np.ndarray, radius: in
 
 
 def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, part, other, fp, tree) sorted by the first three: yields (a, b), b the root of a in the shard. Whole shards at a time."""
+    """Rows (shard, id, fingerprint's words) sorted by shard: yields (a, b), b the root of a in the shard. Whole shards at a time."""
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key = columns[0]
+        key, ids = columns[:2]
         shard = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-        signed = columns[1]
-        label = local_roots(shard, signed.view(np.uint64), columns[2], radius)
+        label = local_roots(shard, np.stack(columns[2:], 1).view(np.uint64), radius)
         moved = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
 
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
-        new = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if cut >= _CHUNK:
-            yield out([x[:cut] for x in held])
-            held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield out(held)
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(i).to_numpy() for i in range(batch.num_columns)])
+        size += batch.num_rows
+        if size < _CHUNK or held[-1][0][-1] == held[0][0][0]:
+            continue
+        held = [[np.concatenate(x) for x in zip(*held, strict=True)]]
+        cut = int(np.searchsorted(held[0][0], held[0][0][-1]))
+        yield out([x[:cut] for x in held[0]])
+        held = [[x[cut:] for x in held[0]]]
+        size -= cut
+    if held:
+        yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def met(rows: DataFrame, radius: int, max_shard: int) -> DataFrame:
+    """(a, b): ids that links within shards connect. rows: key (of a shard), id, and the fingerprint's words in further columns.
+
+    A shard of over ``max_shard`` rows is cut into parts, and any two parts meet in a shard of their own.
+    """
+    names = rows.columns[2:]
+    sizes = rows.groupBy("key").count().where(F.col("count") > max_shard).withColumn("parts", F.ceil(F.col("count") * 2 / max_shard))
+    sizes = written(sizes.select("key", "parts"), "shards")
+    rows = rows.join(sizes, "key", "left")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts"))
+    other = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
+    rows = rows.select("key", "id", *names, F.coalesce(mine, F.lit(0)).cast("long").alias("mine"), F.explode(other).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    shard = F.xxhash64("key", low, high)  # a clash puts two shards in one tree, which stays right
+    rows = rows.select(shard.alias("shard"), "id", *names).repartition("shard").sortWithinPartitions("shard")
+    return rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
-    """(a, b): fingerprints that radius-links connect, b a smaller one; at most radius + 1 rows for each a, unless its shard is cut.
-    fps: one row for each fingerprint, column fp."""
+    """(a, b): fingerprints that radius-links connect; at most a row for each a and block, unless its shard is cut.
+    fps: one row for each fingerprint, column fp. Exact: fingerprints within the radius agree on a block at least."""
     blocks = radius + 1
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    value = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    rows = fps.select("fp", F.posexplode(F.array(*value)).alias("block", "value"))
-    sizes = rows.groupBy("block", "value").count().where(F.col("count") > max_shard)
-    rows = rows.join(sizes, ["block", "value"], "left")
-    parts = F.ceil(F.col("count") / max_shard)
-    mine = F.pmod(F.xxhash64("fp"), parts)
-    other = F.sequence(F.lit(0).cast("long"), F.coalesce(parts, F.lit(1)) - 1)
-    rows = rows.select("fp", "block", "value", F.coalesce(mine, F.lit(0)).cast("long").alias("mine"), F.explode(other).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    key = F.xxhash64("block", "value", low, high)  # a clash puts two shards in one tree, which stays right
-    rows = rows.select(key.alias("shard"), "fp", (F.col("mine") == low).alias("tree"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "fp")
-    return rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
+    value = [F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return met(fps.select(F.explode(F.array(*value)).alias("key"), F.col("fp").alias("id"), "fp"), radius, max_shard)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -215,12 +264,63 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", wo
     return rows.join(components(rows, radius, max_shard, doc), "fp").drop("root")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the document with the smallest id, once."""
-    rows = written(with_fingerprint(docs, text, words, "_fp").withColumnRenamed(doc, "_doc"), "fingerprints")
-    found = components(rows.select(F.col("_fp").alias("fp"), "_doc"), radius, doc="_doc").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
-    kept = rows.join(found, "_fp").where(F.col("_doc").eqNullSafe(F.col("_component")))
-    return kept.dropDuplicates(["_root"]).withColumnRenamed("_doc", doc).select(*docs.columns)
+def wide(found: np.ndarray) -> list[int]:
+    """SEEDS SimHashes of a set of shingle hashes, as signed longs; of an empty set none."""
+    if not len(found):
+        return []
+    counts = np.zeros(64 * SEEDS, np.int64)
+    for k in range(0, len(found), 4096):
+        h = (found[k : k + 4096, None] ^ _SEED) * _ODD
+        h ^= h >> np.uint64(31)
+        h *= _ODD[::-1]
+        h ^= h >> np.uint64(29)
+        counts += bit_counts(h)
+    return np.packbits(2 * counts > len(found), bitorder="little").view(np.int64).tolist()
+
+
+def with_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """``docs`` plus ``_set`` (hash of the text's shingle set, 0 if empty) and ``_words`` (its fingerprints)."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<set:bigint,words:array<bigint>>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = ((jaccard.digest(s), wide(s)) for s in (jaccard.shingles(t, words) for t in texts))
+        return pd.DataFrame(rows, columns=["set", "words"])
+
+    return docs.withColumn("_s", of(F.col(text))).withColumns({"_set": F.col("_s.set"), "_words": F.col("_s.words")}).drop("_s")
+
+
+def candidates(sets: DataFrame, radius: int = WIDE_RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
+    """(a, b): ids of shingle sets that trees link. sets: a row for each set, columns id and words."""
+
+    def one(i: int):
+        word, low = F.col("words")[i // 4], 16 * (i % 4)
+        key = F.xxhash64(F.lit(i), F.shiftrightunsigned(word, low).bitwiseAND(F.lit(0xFFFF)))
+        return F.struct(key.alias("key"), word.alias("w0"), F.col("words")[(i // 4 + 1) % SEEDS].alias("w1"))
+
+    rows = sets.where(F.size("words") > 0).select("id", F.explode(F.array(*map(one, range(4 * SEEDS)))).alias("r"))
+    return met(rows.select("r.key", "id", "r.w0", "r.w1"), radius, max_shard)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", words: int = jaccard.WORDS, least: tuple[int, int] = jaccard.SIMILAR, most: int = jaccard.MOST) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near copies, chains included, the document with the smallest id, once.
+
+    Near copies are texts whose sets of word shingles have a Jaccard similarity of ``least`` or more. Null and wordless
+    texts are copies of each other, as are equal ones, ties going to one row. A null id stays only where all of its group
+    are null. Texts of any length are compared whole; other columns pass through; an empty table stays empty.
+    """
+    rows = written(with_sets(docs.withColumnRenamed(doc, "_doc"), text, words), "sketches")
+    sets = rows.select(F.col("_set").alias("id"), F.col("_words").alias("words")).dropDuplicates(["id"])
+    near = connected(candidates(sets))
+    links = jaccard.confirmed(rows.select(F.col("_set").alias("id"), F.col(text).alias("text")), near, words, least, most)
+    found = connected(links).select(F.col("id").alias("_set"), F.col("root").alias("_root"))
+    each = rows.groupBy("_set").agg(F.min("_doc").alias("_least")).join(found, "_set", "left")
+    each = each.withColumn("_root", F.coalesce("_root", "_set"))
+    groups = each.groupBy("_root").agg(F.min("_least").alias("_first"))
+    # only the set that has the group's least id can hold the row that stays
+    kept = each.join(groups, "_root").where(F.col("_least").eqNullSafe(F.col("_first"))).select("_set", "_root", "_first")
+    out = rows.join(kept, "_set").where(F.col("_doc").eqNullSafe(F.col("_first")))
+    return out.dropDuplicates(["_root"]).withColumnRenamed("_doc", doc).select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from logweave.llm import jaccard as J
+from logweave.llm import simhash as S
 
 from .conftest import frame
 
@@ -49,7 +50,7 @@ def test_against_all_pairs(spark, most):
             texts.append(" ".join(t).title() if r.random() < 0.3 else " ".join(t))
     r.shuffle(texts)
     docs = frame(spark, texts)
-    got = sorted(x["doc_id"] for x in J.one_of_each(docs, most=most).collect())
+    got = sorted(x["doc_id"] for x in S.one_of_each(docs, most=most).collect())
     want = slow_kept(list(enumerate(texts)))
     assert got == want and len(want) < len(texts)
 
@@ -66,6 +67,6 @@ def test_pipeline_stage_finds_near_copies(spark):
 
 
 def test_odd_rows(spark, odd):
-    kept = J.one_of_each(odd)
+    kept = S.one_of_each(odd)
     assert kept.columns == odd.columns and sorted(x["doc_id"] for x in kept.collect()) == [1, 4, 5, 6]
-    assert J.one_of_each(odd.limit(0)).isEmpty()
+    assert S.one_of_each(odd.limit(0)).isEmpty()

@@ -156,7 +156,7 @@ def by_sql(sql, condition, d, documents):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    from .test_search import slow_components
+    from .test_jaccard import slow_kept
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -164,11 +164,7 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, d).cache()
         steps[name] = {r["doc_id"]: r for r in docs.collect()}
-    from logweave.llm.simhash import fingerprint
-
-    kept = sorted(steps["quality_rules"])
-    fps = [fingerprint(steps["quality_rules"][i]["text"], 5) & (1 << 64) - 1 for i in kept]
-    assert sorted(steps["simhash"]) == sorted({kept[c] for c in slow_components(fps)})
+    assert sorted(steps["simhash"]) == slow_kept(sorted((i, r["text"]) for i, r in steps["quality_rules"].items()))
     assert set(steps["quality_rules"]) == by_sql(Q.ORACLE, "kept", d, spark.read.parquet(f"{d}/documents.parquet").toPandas())
     left = pd.DataFrame([(i, r["text"]) for i, r in steps["simhash"].items()], columns=["doc_id", "text"])
     assert set(steps["decontamination"]) == by_sql(D.ORACLE, "not contaminated", d, left) < set(steps["simhash"])
