@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import decontamination, jaccard, quality_rules, secret_scans, sentencepiece_codec
+from logweave.llm import decontamination, quality_rules, secret_scans, sentencepiece_codec, simhash
 from logweave.llm.common import table, written
 
 
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (Jaccard similarity of five-word shingles of 0.8 or more) the document with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
