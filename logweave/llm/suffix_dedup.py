@@ -12,11 +12,17 @@ around an anchor, a segment, stands for all suffixes that have it.
    most one period's bytes are compared before and after. Neighbours that agree are repeated.
 4. The stretches found go to their documents, whose bytes are cut.
 
-Buckets of very many different segments are cut by the place of the suffix relative to the anchor, which parts no equals.
+An anchor with more different segments than a block holds gives no bucket: each of its suffixes is named by a hash of its
+``length`` bytes and counted with others at its place, so no task holds a hot anchor. Texts move only where a segment of
+theirs is wanted: a sieve of at most SIEVE residues, which is broadcast, tells most of the others at the scan.
+
+Passages, runs of over 50 words that stand elsewhere too, can be shorter than ``length``. So a first pass is made with
+strings of PASSAGE bytes; strings of ``length`` bytes that repeat lie within its runs, and the second pass reads those only.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 LENGTH, GRAM, PERIOD = 400, 32, 32
+#: Bytes of a string that makes a passage if it repeats, and words that a passage has more than.
+PASSAGE, PASSAGE_WORDS = 256, 50
+#: Keys of a broadcast sieve.
+SIEVE = 1 << 20
 #: Bytes that a worker handles at once: of documents, and of segments in buckets.
 PIECE, BLOCK = 1 << 20, 1 << 20
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -97,28 +107,51 @@ def _pieces(raw: list[bytes], length: int, most: int) -> Iterator[tuple[np.ndarr
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(ends), owner, offset
 
 
+def whole(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text) and parts: of each text one, from place 0. A null text has none."""
+    parts = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes")))
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), parts.alias("parts"))
+
+
 def segments(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Of docs (doc_id, th, text): doc_id, th, s (first start), n (starts), a (anchor less s), h (anchor's hash), g (segment's hash)."""
+    """Of docs (doc_id, th, parts): doc_id, th, s (first start), n (starts), a (anchor less s), h (anchor's hash), g (segment's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["doc_id", "th", "s", "n", "a", "h", "g"]
+        names, digest = ["doc_id", "th", "s", "n", "a", "h", "g"], xxhash.xxh3_64_intdigest
         for batch in batches:
             ids, th = batch.column(0), batch.column(1)
             for k in range(0, batch.num_rows, 512):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).slice(k, 512).to_pylist()]
-                for data, ends, owner, offset in _pieces(raw, length, PIECE):
+                parts = [(k + i, p["at"], p["bytes"]) for i, ps in enumerate(batch.column(2).slice(k, 512).to_pylist()) for p in ps or ()]
+                row, base = np.array([r for r, _, _ in parts], np.int64), np.array([at for _, at, _ in parts], np.int64)
+                for data, ends, owner, offset in _pieces([b for _, _, b in parts], length, PIECE):
                     first, last, at, h = anchors(data, ends, length, gram)
                     part = np.searchsorted(ends, first, side="right")
-                    whole = data.tobytes()
-                    digest = xxhash.xxh3_64_intdigest
-                    g = np.array([digest(whole[s : e + length], a - s) for s, e, a in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.uint64)
-                    begin = np.concatenate(([0], ends[:-1]))[part] - np.array(offset)[part]
-                    rows = pa.array(np.array(owner)[part] + k)
+                    joined = data.tobytes()
+                    g = np.array([digest(joined[s : e + length], a - s) for s, e, a in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.uint64)
+                    owned = np.array(owner)[part]
+                    begin = np.concatenate(([0], ends[:-1]))[part] - np.array(offset)[part] - base[owned]
+                    rows = pa.array(row[owned])
                     yield pa.RecordBatch.from_arrays([ids.take(rows), th.take(rows), pa.array(first - begin), pa.array((last - first + 1).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], names)
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, s long, n int, a int, h long, g long")
+    return docs.select("doc_id", "th", "parts").mapInArrow(run, "doc_id long, th long, s long, n int, a int, h long, g long")
+
+
+def suffix_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of the ``length`` bytes from each place."""
+    h, size, k = _BYTE[data], 1, 0
+    out, at = None, 0
+    while size <= length:
+        if length & size:
+            piece = h[at : at + len(data) - length + 1]
+            out = piece * _M[(k + 3) % len(_M)] if out is None else (out ^ (out >> np.uint64(31))) * _M[(k + 1) % len(_M)] + piece
+            at += size
+        if 2 * size > length:
+            break
+        h = (h[:-size] ^ (h[:-size] >> np.uint64(32))) * _M[k % len(_M)] + h[size:]
+        size, k = 2 * size, k + 1
+    return out ^ (out >> np.uint64(29))
 
 
 def _ranks(columns: list[np.ndarray]) -> np.ndarray:
@@ -247,54 +280,89 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         yield out(pa.Table.from_batches(held))
 
 
+def sieved(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose key may be among the wanted ones (a column ``key``); with ``left_anti`` those whose key surely isn't.
+    The sieve holds residues of keys, at most SIEVE of them however many keys there are."""
+    residues = wanted.select(F.pmod(key, F.lit(SIEVE)).alias("_residue")).distinct()
+    return rows.withColumn("_residue", F.pmod(key, F.lit(SIEVE))).join(F.broadcast(residues), "_residue", how).drop("_residue")
+
+
+def _fetched(docs: DataFrame, want: DataFrame, emit, schema: str) -> DataFrame:
+    """docs' bytes at the wanted segments: of each, ``emit(segment, first start from the anchor, a part's bytes, first start in them)``
+    gives rows, to which doc_id and th are put."""
+    want = written(want.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ng", "s", "n", "a")).alias("want")), "want")
+    rows = sieved(docs, "th", want)
+    rows = rows.join(want, rows["doc_id"].eqNullSafe(want["doc_id"]) & (rows["th"] == want["th"])).select(rows["doc_id"], rows["th"], "parts", "want")
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            size = 0
+            for doc, th, parts, segs in zip(*(batch.column(i) for i in range(4)), strict=True):
+                doc, th, parts = doc.as_py(), th.as_py(), parts.as_py()
+                at = [p["at"] for p in parts]
+                for x in segs.as_py():
+                    k = bisect_right(at, x["s"]) - 1
+                    s = x["s"] - at[k]
+                    for row in emit(x, -x["a"], parts[k]["bytes"], s):
+                        out.append((doc, th, *row))
+                        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+                if size > PIECE:
+                    yield _batch(out, names)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, names)
+
+    return rows.mapInArrow(fetch, schema)
+
+
+_TYPES = {"doc_id": pa.int64(), "th": pa.int64(), "h": pa.int64(), "ng": pa.int64(), "anchor": pa.int64(), "begin": pa.int32(), "bytes": pa.binary(), "sh": pa.int64()}
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[n]) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
+
+
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Repeated bytes of docs (doc_id, th, text): (doc_id, th, begin, end), which may overlap and touch."""
+    """Repeated bytes of docs (doc_id, th, parts): (doc_id, th, begin, end), which may overlap and touch."""
     small_batches(docs.sparkSession)
     all_ = written(segments(docs, length, gram), "segments")
     shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed")).where("nh > 1")
     shared = written(shared.select("h", "mixed"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
-    seg = written(all_.join(shared, "h"), "shared")
-    full = seg.where("not mixed").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
+    seg = written(sieved(all_, "h", shared).join(shared, "h"), "shared")
+    extent = F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end")
+    full = seg.where("not mixed").select("doc_id", "th", *extent)
     mixed = seg.where("mixed")
     one = written(mixed.groupBy("h", "g").agg(F.count("*").alias("ng"), F.min(F.struct("doc_id", "th", "s", "n", "a")).alias("rep")), "distinct")
     # what occurs twice is all but what occurs once: told by the segment's own place, so that no copied segment's rows meet in one task
     once = one.where("ng = 1").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), F.col("rep.s").alias("_s"))
     place = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col("s") == F.col("_s"))
-    copies = mixed.join(once, place, "left_anti").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
-    parts = one.groupBy("h").agg(F.least(F.lit(64), F.ceil(F.count("*") * (1.5 * length) / block)).cast("int").alias("parts")).where("parts > 1")
-    want = one.join(parts, "h", "left").select("h", "ng", F.coalesce("parts", F.lit(1)).alias("parts"), "rep.*")
-    want = want.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ng", "parts", "s", "n", "a")).alias("want"))
-    span = length - gram + 1
+    copies = mixed.join(once, place, "left_anti").select("doc_id", "th", *extent)
+    hot = written(one.groupBy("h").agg(F.count("*").alias("segments")).where(F.col("segments") * (1.5 * length) > block).select("h"), "hot")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "part", "doc_id", "th", "anchor", "ng", "begin", "bytes"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for doc, th, text, segs in zip(*(batch.column(i) for i in range(4)), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for x in segs.as_py():
-                    s, n, anchor = x["s"], x["n"], x["s"] + x["a"]
-                    low = -x["a"]  # suffixes at low to low + n - 1 from the anchor, of 1 - span to 0
-                    for part in range(x["parts"]):
-                        a = max(low, 1 - span + part * span // x["parts"])
-                        b = min(low + n, 1 - span + (part + 1) * span // x["parts"])
-                        if a < b:
-                            out.append((x["h"], part, doc.as_py(), th.as_py(), anchor, x["ng"], a, raw[anchor + a : anchor + b + length - 1]))
-                            size += b - a + length
-                if size > PIECE:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    def bucket(x: dict, low: int, raw: bytes, s: int) -> Iterator[tuple]:
+        yield x["h"], x["ng"], x["s"] + x["a"], low, raw[s : s + x["n"] + length - 1]
+
+    cold = one.join(hot, "h", "left_anti").select("h", "ng", "rep.*")
+    rows = _fetched(docs, cold, bucket, "doc_id long, th long, h long, ng long, anchor long, begin int, bytes binary")
+    rows = rows.select(F.col("h").alias("bucket"), "doc_id", "th", "anchor", "ng", "begin", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    found = full.unionByName(copies).unionByName(rows.mapInArrow(lambda it: _sorted_buckets(it, length), "doc_id long, th long, begin long, end long"))
+    if hot.isEmpty():
+        return found
 
-    texts = docs.select("doc_id", "th", "text").join(want, (docs["doc_id"].eqNullSafe(want["doc_id"])) & (docs["th"] == want["th"])).select(docs["doc_id"], docs["th"], "text", "want")
-    fetched = texts.mapInArrow(fetch, "h long, part int, doc_id long, th long, anchor long, ng long, begin int, bytes binary")
-    fetched = fetched.withColumn("bucket", F.xxhash64("h", "part")).select("bucket", "doc_id", "th", "anchor", "ng", "begin", "bytes")
-    fetched = fetched.repartition("bucket").sortWithinPartitions("bucket")
-    found = fetched.mapInArrow(lambda it: _sorted_buckets(it, length), "doc_id long, th long, begin long, end long")
-    return full.unionByName(copies).unionByName(found)
+    def names(x: dict, low: int, raw: bytes, s: int) -> Iterator[tuple]:
+        hashes = suffix_hashes(np.frombuffer(raw[s : s + x["n"] + length - 1], np.uint8), length).view(np.int64)
+        for d, sh in enumerate(hashes.tolist()):
+            yield x["h"], x["ng"], x["s"] + x["a"], low + d, sh
+
+    each = _fetched(docs, one.join(hot, "h").select("h", "ng", "rep.*"), names, "doc_id long, th long, h long, ng long, anchor long, begin int, sh long")
+    each = written(each, "suffixes")
+    lone = each.groupBy("h", "begin", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "anchor")).alias("rep")).where("c = 1")
+    lone = lone.select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), (F.col("rep.anchor") + F.col("begin")).alias("_s"))
+    each = each.where("ng = 1").select("doc_id", "th", (F.col("anchor") + F.col("begin")).alias("s"))
+    same = each.join(lone, place, "left_anti").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + length).alias("end"))
+    return found.unionByName(same)
 
 
 def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -305,40 +373,85 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begins[np.concatenate(([0], new))].tolist(), ends[np.concatenate((new, [len(ends)])) - 1].tolist(), strict=True))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` plus n_bytes, ``removed`` (array of begin and end, in bytes: maximal runs, in order) and ``kept`` (the bytes left).
+_SPANS = "array<struct<begin:bigint,end:bigint>>"
+_SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _spans(found: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """docs (doc_id, th and others) that have stretches, with two arrays of where these begin and end."""
+    by = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("_s"))
+    by = written(by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("_s.begin").alias("_a"), F.col("_s.end").alias("_b")), name)
+    return sieved(docs, "th", by.withColumnRenamed("_th", "th")).join(by, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).drop("_doc", "_th")
+
+
+def _runs(docs: DataFrame, found: DataFrame, length: int, words: int) -> DataFrame:
+    """Of the documents with stretches: doc_id, th, passages (runs of over ``words`` words), parts (runs of ``length`` bytes or more)."""
 
-    A null text counts as empty; texts of under ``length`` bytes lose nothing. Texts are judged whole and as they came
-    in. Repeated rows are each other's copies. Columns of those names, or th, are replaced.
+    @F.arrow_udf(f"struct<passages:{_SPANS},parts:array<struct<at:bigint,bytes:binary>>>")
+    def cut(parts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+        passages, long = [], []
+        for ps, a, b in zip(parts, begins, ends, strict=True):
+            raw = ps.as_py()[0]["bytes"]
+            runs = merged(a.values.to_numpy(), b.values.to_numpy())
+            passages.append([{"begin": x, "end": y} for x, y in runs if len(raw[x:y].split()) > words])
+            long.append([{"at": x, "bytes": raw[x:y]} for x, y in runs if y - x >= length])
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("bytes", pa.binary())]))
+        return pa.StructArray.from_arrays([pa.array(passages, _SPAN), pa.array(long, kind)], ["passages", "parts"])
+
+    rows = _spans(found, docs, "spans").withColumn("_c", cut("parts", "_a", "_b"))
+    return rows.select("doc_id", "th", "_c.passages", "_c.parts")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` plus n_bytes, ``removed`` (array of begin and end, in bytes: maximal runs, in order), ``kept`` (the bytes left) and
+    ``passages`` (array of begin and end: runs of over ``words`` words made of strings of ``passage`` bytes that stand elsewhere
+    too, which need not be removed).
+
+    A null text counts as empty; texts of under ``length`` bytes lose nothing. Texts of any length are judged whole and as
+    they came in. Repeated rows are each other's copies. Columns of those names, or th, are replaced.
     """
 
-    @F.arrow_udf("struct<n_bytes:bigint,removed:array<struct<begin:bigint,end:bigint>>,kept:binary>")
+    @F.arrow_udf(f"struct<removed:{_SPANS},kept:binary>")
     def cut(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
-        sizes, removed, kept = [], [], []
+        removed, kept = [], []
         for t, a, b in zip(texts, begins, ends, strict=True):
-            raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+            raw, at, left = t.as_py(), 0, []
             runs = merged(a.values.to_numpy(), b.values.to_numpy()) if a.is_valid else []
-            at, left = 0, []
             for x, y in runs:
                 left.append(raw[at:x])
                 at = y
-            left.append(raw[at:])
-            sizes.append(len(raw))
             removed.append([{"begin": x, "end": y} for x, y in runs])
-            kept.append(b"".join(left))
-        kind = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(kind)), pa.array(kept, pa.binary())], ["n_bytes", "removed", "kept"])
-
-    rows = docs.drop("th", "n_bytes", "removed", "kept").withColumn("th", F.xxhash64(text))
-    found = stretches(rows.select("doc_id", "th", F.col(text).alias("text")), length, gram)
+            kept.append(b"".join([*left, raw[at:]]))
+        return pa.StructArray.from_arrays([pa.array(removed, _SPAN), pa.array(kept, pa.binary())], ["removed", "kept"])
+
+    rows = docs.drop("th", "n_bytes", "removed", "kept", "passages").withColumn("th", F.xxhash64(text))
+    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    base = whole(rows, text)
+    runs = written(_runs(base, stretches(base, min(passage, length), gram), length, words), "runs")
+    found = stretches(runs.where(F.size("parts") > 0).select("doc_id", "th", "parts"), length, gram)
     by = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("_s"))
     by = by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("_s.begin").alias("_a"), F.col("_s.end").alias("_b"))
-    joined = rows.join(by, rows["doc_id"].eqNullSafe(by["_doc"]) & (rows["th"] == by["_th"]), "left")
-    out = joined.withColumn("_c", cut(F.col(text), F.col("_a"), F.col("_b")))
-    return out.select(*rows.drop("th").columns, "_c.n_bytes", "_c.removed", "_c.kept")
+    once = runs.select("doc_id", "th", "passages").dropDuplicates(["doc_id", "th"])
+    by = once.join(by, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left").drop("_doc", "_th")
+    by = written(by.withColumnsRenamed({"doc_id": "_doc", "th": "_th"}), "cuts")
+    key = by.select(F.col("_th").alias("th"))
+    none = F.array().cast(_SPANS)
+    some = sieved(rows, "th", key).join(by, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")), "left")
+    some = some.withColumn("_c", cut(raw, F.col("_a"), F.col("_b"))).withColumns({"n_bytes": F.octet_length(raw).cast("long"), "removed": F.col("_c.removed"), "kept": F.col("_c.kept"), "passages": F.coalesce("passages", none)})
+    rest = sieved(rows, "th", key, "left_anti").withColumns({"n_bytes": F.octet_length(raw).cast("long"), "removed": none, "kept": raw, "passages": none})
+    return some.drop("_doc", "_th", "_a", "_b", "_c", "th").unionByName(rest.drop("th"))
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
-    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    count = lambda spans: F.size(spans).cast("long")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        total("removed").alias("n_removed"),
+        count("removed").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        count("passages").alias("n_passages"),
+        total("passages").alias("passage_bytes"),
+    )

@@ -96,12 +96,11 @@ def test_dedup(spark, block):
         texts.append(parts[0] + r.choice(passages) + parts[1] + (r.choice(passages)[r.randint(0, 30) :] if i % 3 else "") + parts[2])
     texts += texts[10:14]
     docs = frame(spark, texts)
-    rows = docs.selectExpr("doc_id", "xxhash64(text) as th", "text")
     assert X.deduplicated(docs).count() == len(texts)
     got = {row["doc_id"]: row["kept"] for row in X.deduplicated(docs).collect()}
     assert [hashlib.sha256(got[i]).hexdigest() for i in range(len(texts))] == [hashlib.sha256(b).hexdigest() for b in slow_dedup(texts, 400)]
     found = {}
-    for s in X.stretches(rows, block=block).collect():
+    for s in X.stretches(X.whole(docs), block=block).collect():
         found.setdefault(s["doc_id"], []).append((s["begin"], s["end"]))
     for i, t in enumerate(texts):
         left = bytearray()
@@ -159,3 +158,26 @@ def test_digest_collisions(monkeypatch):
     index = U.Index(np.load(io.BytesIO(f["keys"])), np.load(io.BytesIO(f["ends"])), np.frombuffer(f["texts"], np.uint8))
     assert index.has(["b", "x", "ccc", "aa", "bc"]).tolist() == [True, False, True, True, False]
     assert U.Index(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint8)).has(["a"]).tolist() == [False]
+
+
+def test_passages(spark):
+    """Passages of over 50 words are found where they are too short to be removed; repeated rows are copies."""
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(4, 5))) for _ in range(n))
+    passage, shorter, long = prose(55), prose(40), prose(150)
+    texts = [prose(30) + "\n" + passage + "\n" + prose(20), passage + " " + prose(90), shorter + "\n" + prose(60), prose(5) + "\n" + shorter, prose(300)]
+    rows = [*enumerate(texts), (9, long), (9, long), (None, long + " " + prose(3))]
+    got = sorted((x["doc_id"] or 0, len(x["passages"]), sum(e - b for b, e in x["removed"])) for x in X.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(long)
+    assert 256 <= len(passage) < 400
+    assert {x[0]: x[1:] for x in got if x[0] in (1, 2, 3, 4)} == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+    assert [x for x in got if x[0] == 9] == [(9, 1, n), (9, 1, n)] and sorted(x[1:] for x in got if x[0] == 0) == [(1, 0), (1, n)]
+
+
+def test_suffix_hashes():
+    data = np.frombuffer(bytes(random.Random(4).choices(b"ab", k=3000)) * 2, np.uint8)
+    for length in (12, 256, 400):
+        h = X.suffix_hashes(data, length)
+        assert len(h) == len(data) - length + 1 and (h[: 3000 - length] == h[3000 : 6000 - length]).all()
+        strings = {data[i : i + length].tobytes() for i in range(len(h))}
+        assert len(set(h.tolist())) == len(strings)
