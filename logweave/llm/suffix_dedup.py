@@ -14,7 +14,7 @@ around an anchor, a segment, stands for all suffixes that have it.
 
 An anchor with more different segments than a block holds gives no bucket: each of its suffixes is named by a hash of its
 ``length`` bytes and counted with others at its place, so no task holds a hot anchor. Texts move only where a segment of
-theirs is wanted: a sieve of at most SIEVE residues, which is broadcast, tells most of the others at the scan.
+theirs is wanted: a sieve of a fixed number of residues, which is broadcast, tells most of the others at the scan.
 
 Passages, runs of over 50 words that stand elsewhere too, can be shorter than ``length``. So a first pass is made with
 strings of PASSAGE bytes; strings of ``length`` bytes that repeat lie within its runs, and the second pass reads those only.
@@ -30,13 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import sieved, small_batches, table, written
 
 LENGTH, GRAM, PERIOD = 400, 32, 32
 #: Bytes of a string that makes a passage if it repeats, and words that a passage has more than.
 PASSAGE, PASSAGE_WORDS = 256, 50
-#: Keys of a broadcast sieve.
-SIEVE = 1 << 20
 #: Bytes that a worker handles at once: of documents, and of segments in buckets.
 PIECE, BLOCK = 1 << 20, 1 << 20
 _M = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -280,13 +278,6 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         yield out(pa.Table.from_batches(held))
 
 
-def sieved(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose key may be among the wanted ones (a column ``key``); with ``left_anti`` those whose key surely isn't.
-    The sieve holds residues of keys, at most SIEVE of them however many keys there are."""
-    residues = wanted.select(F.pmod(key, F.lit(SIEVE)).alias("_residue")).distinct()
-    return rows.withColumn("_residue", F.pmod(key, F.lit(SIEVE))).join(F.broadcast(residues), "_residue", how).drop("_residue")
-
-
 def _fetched(docs: DataFrame, want: DataFrame, emit, schema: str) -> DataFrame:
     """docs' bytes at the wanted segments: of each, ``emit(segment, first start from the anchor, a part's bytes, first start in them)``
     gives rows, to which doc_id and th are put."""
@@ -330,7 +321,7 @@ def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: in
     all_ = written(segments(docs, length, gram), "segments")
     shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed")).where("nh > 1")
     shared = written(shared.select("h", "mixed"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
-    seg = written(sieved(all_, "h", shared).join(shared, "h"), "shared")
+    seg = written(all_.join(shared, "h"), "shared")
     extent = F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end")
     full = seg.where("not mixed").select("doc_id", "th", *extent)
     mixed = seg.where("mixed")
