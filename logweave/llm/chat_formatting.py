@@ -65,6 +65,8 @@ class _Windows:
         self.count += 1
         if self.turns and self._fixed() + self.prefix[-1] + size > self.budget:
             yield self._cut()
+        while not self.turns and self.before and self._fixed() + size > self.budget:  # the turn itself comes before what repeats
+            self.before.pop(0)
         self.turns.append(turn)
         self.prefix.append(self.prefix[-1] + size)
 
@@ -105,8 +107,9 @@ def formatted(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) ->
     """Windows of the conversations in ``rows`` (conv_id, turn, role, text): conv_id, window (from 0), text, n_repeated
     (turns at its start that earlier windows had), n_tokens, and the loss mask's stretches as places in ``text``.
 
-    Turns come by turn number, nulls first, ties by role and text; a null text or role is empty. A turn over the budget
-    is a window of its own, whole, after what it repeats. Other columns are left out; rows of a null conv_id are one
+    Turns come by turn number, nulls first, ties by role and text; a null text or role is empty. Of the history as much is
+    repeated as leaves room for the next turn; a turn that is over the budget with the system turn is a window of its own,
+    whole, after that turn alone. Turns of any length stay whole, repeated rows are turns of their own. Other columns are left out; rows of a null conv_id are one
     conversation. An empty table gives no window.
     """
 

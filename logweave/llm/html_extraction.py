@@ -1,15 +1,17 @@
 """HTML extraction with site template removal.
 
 A first pass hashes element subtrees; Spark counts, for each host, on how many different pages each occurs; a second
-pass deletes those that many pages of the host share and takes the main text of what is left. A subtree that at
-least half of a host's pages share is one of at most twice as many as a page has on average, so the list of a host
-is bounded, whatever its number of pages.
+pass deletes those that many pages of the host share and takes the main text of what is left: of its articles, else of
+its main element, else of its body, without what tags and class names mark as no article. The hashes found are broadcast
+while they are few; beyond that each page gets those of its own subtrees by a join on host and hash.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .url_filters import host
 
-#: A subtree is template if so many different pages of its host have it, and this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.5
-#: Template hashes of all hosts up to which they are broadcast; beyond, pages are shuffled to them.
+#: A subtree is template if so many different pages of its host have it. Pages with the same article count as one.
+MIN_PAGES = 5
+#: Template hashes of all hosts up to which they are broadcast; beyond, pages are shuffled to their own.
 BROADCAST_HASHES = 500_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -35,73 +37,121 @@ STATES = frozenset("has with no not without is js".split())
 TEXT = frozenset("article main body html head p h1 h2 h3 h4 h5 h6 li blockquote pre table tbody thead tfoot tr td th b i em strong a span br".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"""[^>"']*""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
 
 class Node:
-    __slots__ = ("kids", "marks", "names", "parent", "tag")
+    __slots__ = ("kids", "marks", "names", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
-        self.tag, self.parent, self.kids, self.names, self.marks = tag, parent, [], (), frozenset()
+    def __init__(self, tag: str, attrs: str = ""):
+        self.tag, self.kids, self.names, self.marks = tag, [], (), frozenset()
         if "=" in attrs and (found := _NAMES.findall(attrs)):
             self.names = [n for f in found for n in html.unescape("".join(f)).split()]
             each = [{w.lower() for w in _WORD.findall(n)} for n in self.names]
             self.marks = frozenset(w for words in each if not words & STATES for w in words)  # "has-sidebar" marks no sidebar
 
 
+class _Open:
+    """The open elements, the page itself first, and where in them those of each tag stand: no step walks up the page."""
+
+    def __init__(self, top: Node):
+        self.stack, self.blocks, self.places = [top], [0], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Ends the element at the place and all inside it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close_before(self, tag: str) -> None:
+        """Ends what the start of a ``tag`` ends: an open paragraph before a block, an item before the next of its list."""
+        if tag in BLOCK and tag != "html" and tag != "body" and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in CLOSES:
+            fence = max((self.places[t][-1] for t in FENCE[tag] if self.places[t]), default=0)
+            inside = [x[i] for t in CLOSES[tag] if (x := self.places[t]) and (i := bisect_right(x, fence)) < len(x)]
+            if inside:
+                self.close(min(inside))
+
+
+def _tag_end(page: str, pos: int, quoted: list[bool]) -> int:
+    """Where the tag's ``>`` stands, quoted ones aside. Once quotes run to the page's end they mean nothing any more."""
+    at = pos
+    while quoted[0]:
+        at = _PLAIN.match(page, at).end()
+        if at < len(page) and page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1) + 1 if at < len(page) else 0
+        quoted[0] = at > 0
+    return page.find(">", pos)
+
+
 def parse(page: str) -> Node:
-    """The page's tree: kids are nodes and strings, tags in lower case; open elements end where HTML lets them."""
-    top = at = Node("", None)
-    pos, size = 0, len(page)
+    """The page's tree: kids are nodes and strings, tags in lower case; open elements end where HTML lets them.
+
+    Takes time in proportion to the page, however malformed."""
+    top = Node("")
+    open_, quoted, unclosed = _Open(top), [True], set()
+    pos, text, size = 0, 0, len(page)  # text: where the characters begin that aren't in the tree yet
+    last = page.rfind(">")
     while pos < size:
-        m = _TAG.search(page, pos)
-        if not m:
-            at.kids.append(page[pos:])
+        start = page.find("<", pos)
+        if start < 0:
             break
-        if m.start() > pos:
-            at.kids.append(page[pos : m.start()])
-        pos = m.end()
-        name = m[2] or m[5]
+        lead = page[start + 1 : start + 2]
+        if lead in ("!", "?"):
+            dashes = page.startswith("<!--", start)
+            end = page.find("-->" if dashes else ">", start + (4 if dashes else 2))
+            end = size if end < 0 else end + (3 if dashes else 1)
+            name = None
+        else:
+            name = _NAME.match(page, start + (2 if lead == "/" else 1))
+            end = _tag_end(page, name.end(), quoted) + 1 if name and last > start else 0
+            if not end:  # no tag
+                pos = start + 1
+                continue
+        if start > text:
+            open_.stack[-1].kids.append(page[text:start])
+        pos = text = end
         if not name:
             continue
-        tag, closing, attrs = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if closing:
-            node = at
-            while node is not top and node.tag != tag:
-                node = node.parent
-            if node is not top:
-                at = node.parent
+        tag, attrs = name[0].lower(), page[name.end() : end - 1]
+        if lead == "/":
+            if places := open_.places[tag]:
+                open_.close(places[-1])
             elif tag == "p":
-                at.kids.append(Node("p", at))
+                open_.stack[-1].kids.append(Node("p"))
             continue
-        if tag in BLOCK and tag != "html" and tag != "body":  # a block ends an open paragraph
-            node = at
-            while node is not top and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in CLOSES:
-            node = at
-            while node is not top and node.tag not in FENCE[tag]:
-                if node.tag in CLOSES[tag]:
-                    at = node.parent
-                node = node.parent
-        node = Node(tag, at, attrs)
-        at.kids.append(node)
+        open_.close_before(tag)
+        node = Node(tag, attrs)
+        open_.stack[-1].kids.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, pos)
+            close = None if tag in unclosed else re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, pos)
             if close:
                 if tag not in ("script", "style"):
                     node.kids.append(page[pos : close.start()])
-                pos = close.end()
+                pos = text = close.end()
             elif tag in ("script", "style"):
-                break
+                return top
+            else:
+                unclosed.add(tag)
             continue
-        at = node
+        open_.push(node)
+    if size > text:
+        open_.stack[-1].kids.append(page[text:])
     return top
 
 
@@ -193,32 +243,34 @@ def main_text(top: Node, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hashes): subtrees that enough of a host's pages share. Pages with the same article count once."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """Of pages (host, key, html): host, key, body (hash of the article) and hashes (of subtrees that can be template)."""
 
-    def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k in range(0, len(frame), 256):
-                out = []
-                for h, page in zip(frame["host"][k : k + 256], frame["html"][k : k + 256], strict=True):
+                part, out = frame.iloc[k : k + 256], []
+                for page in part["html"]:
                     found, body = hashes(parse(page or ""))
-                    body = body - (1 << 63)
-                    out += [(h, False, x - (1 << 63), body) for x in {v for n, v in found.items() if n.tag not in TEXT}]
-                    out.append((h, True, 0, body))
-                yield pd.DataFrame(out, columns=["host", "page", "hash", "body"]).astype({"page": "bool", "hash": "int64", "body": "int64"})
+                    out.append((body - (1 << 63), sorted({v - (1 << 63) for n, v in found.items() if n.tag not in TEXT})))
+                bodies, lists = zip(*out, strict=True)
+                yield pd.DataFrame({"host": part["host"].to_numpy(), "key": part["key"].to_numpy(), "body": bodies, "hashes": lists})
+
+    return pages.where("host <> ''").select("host", "key", "html").mapInPandas(run, "host string, key long, body long, hashes array<long>")
 
-    found = pages.where("host <> ''").select("host", "html").mapInPandas(subtrees, "host string, page boolean, hash long, body long")
-    counts = found.distinct().groupBy("host", "page", "hash").count()
-    bodies = counts.where("page").select("host", F.col("count").alias("bodies"))
-    many = counts.where(~F.col("page") & (F.col("count") >= min_pages)).join(bodies, "host")
-    return many.where(F.col("count") >= min_share * F.col("bodies")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
 
+def templates(trees: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash): subtrees that enough different pages of a host have."""
+    each = trees.select("host", "body", F.explode("hashes").alias("hash")).distinct()
+    return each.groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
 
-def extracted(pages: DataFrame, url: str = "url", page: str = "html", broadcast_hashes: int = BROADCAST_HASHES, **how) -> DataFrame:
+
+def extracted(pages: DataFrame, url: str = "url", page: str = "html", broadcast_hashes: int = BROADCAST_HASHES, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` plus ``text``, the main text, empty if there is none.
 
-    A null or empty page has an empty text; a null url has no host, and so no template. Whole pages are read, each row
-    by itself; clashing columns are replaced.
+    A null or empty page has an empty text; a null url has no host, and so no template. Whole pages are read, of any
+    length, each row by itself, repeated rows alike; an empty table gives no rows; clashing columns are replaced. The
+    result is the same on either side of ``broadcast_hashes``.
     """
 
     @F.pandas_udf("string")
@@ -226,13 +278,17 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", broadcast_
         kept = ((t or "", frozenset(int(x) + (1 << 63) for x in k) if k is not None else frozenset()) for t, k in zip(texts, known, strict=True))
         return pd.Series([main_text(parse(t), k) for t, k in kept], dtype=object)
 
-    rows = pages.withColumn("_host", host(F.col(url)))
-    found = templates(rows.select(F.col("_host").alias("host"), F.col(page).alias("html")), **how)
-    found = found.select(F.col("host").alias("_host"), F.col("hashes").alias("_hashes"))
-    found = written(found, "templates")
-    size = found.agg(F.sum(F.size("_hashes") + 1)).first()[0] or 0
-    joined = rows.join(F.broadcast(found) if size <= broadcast_hashes else found, "_host", "left")
-    return joined.withColumn("text", text(F.col(page), F.col("_hashes"))).drop("_host", "_hashes")
+    rows = pages.withColumns({"_host": host(F.col(url)), "_key": F.xxhash64(page)})
+    trees = written(subtrees(rows.select(F.col("_host").alias("host"), F.col("_key").alias("key"), F.col(page).alias("html"))), "trees")
+    found = written(templates(trees, min_pages), "templates")
+    if found.count() <= broadcast_hashes:
+        lists = F.broadcast(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("hash").alias("_hashes")))
+        joined = rows.join(lists, "_host", "left")
+    else:
+        own = trees.select("host", "key", F.explode("hashes").alias("hash")).distinct().join(found, ["host", "hash"])
+        lists = own.groupBy(F.col("host").alias("_host"), F.col("key").alias("_key")).agg(F.collect_set("hash").alias("_hashes"))
+        joined = rows.join(written(lists, "cuts"), ["_host", "_key"], "left")
+    return joined.withColumn("text", text(F.col(page), F.col("_hashes"))).drop("_host", "_key", "_hashes")
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

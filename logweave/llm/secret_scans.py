@@ -10,7 +10,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]", re.S)
 WIDTH, LEFT, RIGHT = 48, 24, 8  # characters of the candidate, of what stands before it and after it
 FINDINGS, RECALL = 4000, 0.95
+_ASK = 4096  # spans, and windows, that are scored at once
 _ALPHABET = string.ascii_letters + string.digits + "+/_-=.:,;\"'()[]{}<>@#&%$!?\\| \n\t"
-_CODE = np.zeros(65536, np.int64)
+_CODE = np.zeros(65536, np.int16)
 for _i, _c in enumerate(_ALPHABET):
     _CODE[ord(_c)] = _i + 2  # 0: nothing there, 1: any other
 _CODE[_CODE == 0] = 1
@@ -51,13 +54,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Spans that the network judges: all candidates that no base span overlaps."""
     found = [m.span() for m in CANDIDATE.finditer(text) if MIXED.search(m[0])]
-    return [(a, b) for a, b in found if not any(s < b and a < e for s, _, e in base)]
+    starts, reach = [s for s, _, _ in base], [-1, *accumulate((e for _, _, e in base), max)]  # base spans come by start
+    return [(a, b) for a, b in found if reach[bisect_left(starts, b)] <= a]
 
 
-def window(text: str, a: int, b: int) -> str:
-    """Context and candidate at fixed places; of a longer candidate, both ends."""
-    body = text[a:b] if b - a <= WIDTH else text[a : a + WIDTH // 2] + text[b - WIDTH // 2 : b]
-    return text[max(0, a - LEFT) : a].rjust(LEFT, "\0") + body.ljust(WIDTH, "\0") + text[b : b + RIGHT].ljust(RIGHT, "\0")
+def windows(text: str, a: int, b: int) -> list[str]:
+    """Context and candidate at fixed places; of a longer candidate, windows of WIDTH that overlap by half and cover it."""
+    places = [*range(a, b - WIDTH, WIDTH // 2), b - WIDTH] if b - a > WIDTH else [a]
+    ends = [min(p + WIDTH, b) for p in places]
+    return [text[max(0, p - LEFT) : p].rjust(LEFT, "\0") + text[p:e].ljust(WIDTH, "\0") + text[e : e + RIGHT].ljust(RIGHT, "\0") for p, e in zip(places, ends, strict=True)]
 
 
 def encode(windows: list[str]) -> np.ndarray:
@@ -179,24 +184,42 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, int,
 def trained(n: int = FINDINGS, seed: int = 7, recall: float = RECALL) -> Network:
     """The network, fitted on three quarters of ``labelled_findings(n, seed)`` and calibrated on the rest."""
     found = labelled_findings(n, seed)
-    x, y = encode([window(t, a, b) for t, a, b, _ in found]), np.array([f[3] for f in found], float)
     rng, cut = np.random.default_rng(seed), 3 * n // 4
     net = Network(rng)
-    net.fit(x[:cut], y[:cut], rng)
-    net.calibrate(x[cut:], y[cut:], recall)
+    net.fit(*_labelled(found[:cut]), rng)
+    net.calibrate(*_labelled(found[cut:]), recall)
     return net
 
 
+def _labelled(found: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of all windows of the findings."""
+    each = [(w, yes) for t, a, b, yes in found for w in windows(t, a, b)]
+    return encode([w for w, _ in each]), np.array([yes for _, yes in each], float)
+
+
+def _best(asked: list[tuple[str, int, int]], net: Network) -> list[float]:
+    """Each span's score: the greatest of its windows'. Some thousand windows are coded at once."""
+    out: list[float] = []
+    for k in range(0, len(asked), _ASK):
+        each = [windows(*x) for x in asked[k : k + _ASK]]
+        scores, ends = [], np.cumsum([len(w) for w in each])
+        flat = [w for ws in each for w in ws]
+        for i in range(0, len(flat), _ASK):
+            scores.append(net.scores(encode(flat[i : i + _ASK])))
+        out += np.maximum.reduceat(np.concatenate(scores), np.concatenate(([0], ends[:-1]))).tolist()
+    return out
+
+
 def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float]]]:
     """(start, kind, end, score) of each text, sorted: the network scores all candidates; base spans stay whatever their score."""
     asked, of = [], []
     for i, t in enumerate(texts):
         base = base_spans(t)
         for a, k, b in [*base, *((a, 3, b) for a, b in candidates(t, base))]:
-            asked.append(window(t, a, b))
+            asked.append((t, a, b))
             of.append((i, a, k, b))
     found: list[list] = [[] for _ in texts]
-    for (i, a, k, b), s in zip(of, net.scores(encode(asked)) if asked else (), strict=True):
+    for (i, a, k, b), s in zip(of, _best(asked, net), strict=True):
         if k < 3 or s >= net.threshold:
             found[i].append((a, k, b, float(s)))
     return [sorted(f) for f in found]
@@ -205,7 +228,8 @@ def scan(texts: list[str], net: Network) -> list[list[tuple[int, int, int, float
 def secrets(docs: DataFrame, text: str = "text", findings: int = FINDINGS, recall: float = RECALL) -> DataFrame:
     """``docs`` plus ``secrets``, an array of (kind, start, end, score) in text order; places are code points, end exclusive.
 
-    A null or empty text has none. Whole texts are scanned, each row by itself. A column named secrets is replaced.
+    A null or empty text has none. Whole texts are scanned, of any length, each row by itself, repeated rows alike; of equal
+    spans the kinds come in the order of KINDS. An empty table gives no rows. A column named secrets is replaced.
     """
     small_batches(docs.sparkSession)
     net = trained(findings, recall=recall)

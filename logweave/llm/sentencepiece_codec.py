@@ -26,10 +26,12 @@ SPACE = "▁"
 STEP = 1024
 #: Words whose encodings a worker keeps at least (and twice as many at most), and words that advance together.
 CACHE, CHUNK = 120_000, 8192
+#: Characters of kept words beyond which they count as too many; length of a word from which on it's cut at its seams.
+KEPT, LONG = 1 << 24, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # odd: a product with it is one to one
 _MARKS = ".,;:!?#*$%&|<>\"'()[]{}"
-_NONE = 1 << 30
+_NONE, _PAD = 1 << 30, 0x110000
 
 
 class Sorted:
@@ -80,6 +82,8 @@ class Codec:
         # marks that no piece has after a letter: words part there, as nothing merges across
         after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
         self.marks = "".join(c for c in _MARKS if c not in after)
+        self.within = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}  # neighbours in any piece
+        self.kept = [0, 0]
         self.cache: list[dict[str, bytes]] = [{}, {}]  # by word: at a line's start, and after a space
         self.older: list[dict[str, bytes]] = [{}, {}]
         self.runs: dict[int, list[int]] = {}
@@ -173,9 +177,13 @@ class Codec:
         return ok
 
     def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words of one length, one word's after the other, and where each word's end; -1 for a character that is no piece."""
-        n, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).T.astype(np.uint64, order="C") + np.uint64(1)
+        """Ids of words, one word's after the other, and where each word's end; -1 for a character that is no piece.
+        Shorter words are padded with what is in no piece."""
+        sizes = np.array([len(w) for w in words])
+        n, size = len(words), int(sizes.max())
+        codes = np.full((n, size), _PAD, np.uint32)
+        codes[np.arange(size) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = codes.T.astype(np.uint64, order="C") + np.uint64(1)
         found: list = []  # by length - 1: ids of the substrings, a row for each start
         h = np.zeros((size, n), np.uint64)
         for k in range(min(size, self.longest)):
@@ -200,7 +208,7 @@ class Codec:
             best = length == back[end][row]
             last[end][row[best]] = piece[best]
             back[end][back[end] == 0] = 1  # a character that is no piece stands alone
-        at, live = np.full(n, size), np.arange(n)
+        at, live = sizes.copy(), np.arange(n)
         out, k = np.full((n, size), -2, np.int32), size
         while len(live):
             k -= 1
@@ -219,6 +227,23 @@ class Codec:
 
     def learn(self, words: set[str], space: int) -> None:
         """Encodes words without spaces and line ends, at a line's start or (space = 1) after a space, and keeps them."""
+        long = {w: cut for w in words if len(w) >= LONG and len(cut := self._cut(w)) > 1}
+        if long:
+            self.learn({p for cut in long.values() for p in cut[1:]} - self.cache[0].keys(), 0)
+            words = (words - long.keys()) | ({cut[0] for cut in long.values()} - self.cache[space].keys())
+        self.kept[space] += sum(map(len, words)) + sum(map(len, long))
+        self._learn(words, space)
+        cache, first = self.cache[space], self.cache[0]
+        for w, cut in long.items():
+            cache[w] = b"".join([cache[cut[0]], *map(first.__getitem__, cut[1:])])
+
+    def _cut(self, word: str) -> list[str]:
+        """The word's parts between neighbours that no piece has: nothing merges across these seams."""
+        within = self.within
+        seams = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in within]
+        return [word[a:b] for a, b in zip([0, *seams], [*seams, len(word)], strict=True)]
+
+    def _learn(self, words: set[str], space: int) -> None:
         marked, whole, marks = [], set(), self.marks
         for w in words:
             if w[-1] in marks and (core := w.rstrip(marks))[-1:].isalpha():
@@ -239,8 +264,8 @@ class Codec:
 
     def _advance(self, words: set[str], space: int) -> None:
         cache, by = self.cache[space], {}
-        for w in words:
-            by.setdefault(len(w), []).append(w)
+        for w in words:  # long ones, of which few have one length, go with those of up to twice theirs
+            by.setdefault(len(w) if len(w) < 2 * LONG else 1 << len(w).bit_length(), []).append(w)
         for size, group in by.items():
             step = max(1, CHUNK * 16 // max(16, size))
             for k in range(0, len(group), step):
@@ -266,8 +291,8 @@ class Codec:
 
     def _known(self, words: set[str], space: int) -> dict[str, bytes]:
         """The cache, with all these words in it. Of two generations the older goes when the newer is full."""
-        if len(self.cache[space]) > CACHE:
-            self.older[space], self.cache[space] = self.cache[space], {}
+        if len(self.cache[space]) > CACHE or self.kept[space] > KEPT:
+            self.older[space], self.cache[space], self.kept[space] = self.cache[space], {}, 0
         cache, older = self.cache[space], self.older[space]
         new = words - cache.keys()
         for w in new & older.keys():
@@ -390,8 +415,9 @@ def _texts(c: Codec, rows: pa.ListArray) -> pa.Array:
 def encoded(docs: DataFrame, model: str = MODEL, text: str = "text", name: str = "ids") -> DataFrame:
     """``docs`` plus ``ids`` (array of int): the model's encoding of the whole text.
 
-    A null text has null ids, an empty one none. Characters that are no piece become bytes. A word takes memory in
-    proportion to its length, however long. Each row by itself; a column of that name is replaced.
+    A null text has null ids, an empty one none. Characters that are no piece become bytes. A long word is cut where no
+    piece goes on; a part takes memory in proportion to its length, however long. Each row by itself, repeated rows alike,
+    an empty table gives no rows; a column of that name is replaced.
     """
     small_batches(docs.sparkSession)
     content = _bytes(model)

@@ -3,6 +3,7 @@
 An index is three files: ``keys`` (uint64, sorted), ``ends`` (where each entry's text ends) and ``texts`` (UTF-8, in
 the order of the keys). A probe is one vectorised search over all urls of a batch; a hit counts only if the stored
 text is the probed one, so digest collisions decide nothing. The files go to the executors by SparkContext.addFile.
+A blocklist may be a DataFrame of any size: beyond what each executor may hold, distinct hosts are joined with it instead.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import shared_dir, table
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Blocked domains, in each of the zones. Fixed values.
 BLOCKED = tuple(f"{name}.example.{zone}" for name in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x") for zone in ("com", "net", "org"))
-#: Entries that an index may have: it's built on the driver and copied to each executor.
+#: Entries up to which there is an index: it's built on the driver and copied to each executor. Longer lists are joined.
 MAX_ENTRIES = 5_000_000
 
 
@@ -39,8 +40,6 @@ class Index:
         import xxhash
 
         found = sorted((xxhash.xxh64_intdigest(b), b) for b in {e.encode() for e in entries})
-        if len(found) > MAX_ENTRIES:
-            raise ValueError(f"{len(found)} entries; an index holds {MAX_ENTRIES}")
 
         def npy(x: np.ndarray) -> bytes:
             np.save(out := io.BytesIO(), x)
@@ -124,15 +123,32 @@ def judge(hosts: list[str], paths: list[str], rules: Index, verdicts: dict[str,
     return [(best[i][1], verdicts[best[i][1]]) if i in best else (None, "block" if i in bad else "allow") for i in range(len(hosts))]
 
 
-def judged(pages: DataFrame, url: str = "url", rules=RULES, blocked: Iterable[str] = BLOCKED) -> DataFrame:
-    """``pages`` plus host, path, rule and verdict. No rule: blocked if the host or a parent domain is in ``blocked``.
+def blocked_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """The different hosts (column _host) of which the host itself or a parent domain is listed (column entry)."""
+    parts = F.split("_host", r"\.", -1)
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = hosts.select("_host").distinct().select("_host", F.explode(parents).alias("entry"))
+    return each.join(listed.select("entry").distinct(), "entry", "left_semi").select("_host").distinct()
 
-    A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Rows are judged one by
-    one, repeated ones alike; clashing columns are replaced.
+
+def judged(pages: DataFrame, url: str = "url", rules=RULES, blocked: Iterable[str] | DataFrame = BLOCKED, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """``pages`` plus host, path, rule and verdict. No rule: blocked if the host or a parent domain is in ``blocked``, names or a
+    DataFrame whose first column has them; the same whether it's over ``max_entries`` or not.
+
+    A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Of rules that fit the
+    longest wins, of equally long ones that of the longer host. Rows are judged one by one, repeated ones alike, urls of any
+    length whole; an empty table gives no rows; clashing columns are replaced.
     """
     spark = pages.sparkSession
     texts = {h + p: v for v, h, p in rules}
     lengths = sorted({len(p) for _, _, p in rules})
+    joined = None
+    if isinstance(blocked, DataFrame):
+        names = blocked.select(F.col(blocked.columns[0]).alias("entry")).where("entry is not null")
+        if names.count() > max_entries:
+            blocked, joined = (), names
+        else:
+            blocked = [r["entry"] for r in names.collect()]  # at most max_entries
     listed, domains = publish(spark, texts), publish(spark, blocked)
 
     @F.pandas_udf("rule string, verdict string")
@@ -142,7 +158,14 @@ def judged(pages: DataFrame, url: str = "url", rules=RULES, blocked: Iterable[st
 
     out = pages.withColumns({"host": host(F.col(url)), "path": path(F.col(url))})
     out = out.withColumn("_v", verdict("host", "path"))
-    return out.withColumns({"rule": F.col("_v.rule"), "verdict": F.col("_v.verdict")}).drop("_v")
+    out = out.withColumns({"rule": F.col("_v.rule"), "verdict": F.col("_v.verdict")}).drop("_v")
+    if joined is None:
+        return out
+    packed = out.select(F.struct("*").alias("_row"))  # no column of theirs can clash
+    bad = blocked_hosts(packed.select(F.col("_row.host").alias("_host")), joined)
+    packed = packed.join(bad, F.col("_row.host") == F.col("_host"), "left")
+    worse = F.when(F.col("_row.rule").isNull() & F.col("_host").isNotNull(), "block").otherwise(F.col("_row.verdict"))
+    return packed.select(*[worse.alias(c) if c == "verdict" else F.col("_row").getField(c).alias(c) for c in out.columns])
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:

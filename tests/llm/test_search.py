@@ -150,6 +150,16 @@ def test_urls(spark, url, rule, verdict):
     assert (r["rule"], r["verdict"]) == (rule, verdict)
 
 
+def test_blocklists_of_any_length(spark):
+    """A list as a DataFrame, in an index or joined: the same verdicts."""
+    urls = ["http://a.bad.org/x", "http://bad.org", "http://notbad.org/", "http://x.com/fr/", "http://x.com/", None, "http://worse.net/", "nothing"] * 2
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, _bad string")
+    listed = spark.createDataFrame([("bad.org",), ("x.com",), ("worse.net",), (None,), ("bad.org",)], "name string")
+    got = [[tuple(r) for r in U.judged(pages, blocked=listed, max_entries=n).select("page_id", "rule", "verdict").orderBy("page_id").collect()] for n in (2, 100)]
+    assert got[0] == got[1] and [v for _, _, v in got[0]][:8] == ["allow", "block", "allow", "allow", "block", "allow", "block", "allow"]
+    assert U.judged(pages, blocked=listed.limit(0), max_entries=0).count() == len(urls)
+
+
 def test_digest_collisions(monkeypatch):
     import io
 
