@@ -34,6 +34,7 @@ def recent_streams(log: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def log_stats(log: DataFrame) -> DataFrame:
+    """Streams, and the log's last number: null for an empty log."""
     return log.agg(F.countDistinct("stream_id").alias("stream_count"), F.max("global_seq").alias("max_global_seq"))
 
 
@@ -44,17 +45,28 @@ def consumer_stats(groups: DataFrame, offsets: DataFrame) -> DataFrame:
     return groups.join(used, "group_id", "left").select("group_id", "status", "retry_at", F.coalesce("lo", zero).alias("oldest_processed"), F.coalesce("hi", zero).alias("newest_processed"), F.coalesce("n", zero).alias("stream_count"))
 
 
-def append_next(log: DataFrame, messages: DataFrame, order: str = "arrival") -> DataFrame:
+def heads(log: DataFrame) -> DataFrame:
+    """The last number of each stream and when it got a message: what appending needs of a log."""
+    return log.groupBy("stream_id").agg(F.max("seq").alias("seq"), F.max("created_at").alias("updated_at"))
+
+
+def advanced(heads_: DataFrame, appended: DataFrame) -> DataFrame:
+    """Heads after messages were appended, so that the log itself isn't read again."""
+    return heads_.unionByName(heads(appended)).groupBy("stream_id").agg(F.max("seq").alias("seq"), F.max("updated_at").alias("updated_at"))
+
+
+def append_next(log: DataFrame, messages: DataFrame, order: str = "arrival", heads_: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Messages numbered on: seq after the stream's last, in order of arrival; global_seq after the log's last.
 
     Streams are numbered apart. The global number needs one order over all that is appended: arrival ranges are counted,
-    then numbered within, so no task sees all rows.
+    then numbered within, so no task sees all rows. With ``heads_`` and ``top`` (as ``sources.store`` keeps them) the log isn't read.
     """
-    last = log.groupBy("stream_id").agg(F.max("seq").alias("last"))
+    last = (heads(log) if heads_ is None else heads_).select("stream_id", F.col("seq").alias("last"))
     w = Window.partitionBy("stream_id").orderBy(order)
     rows = messages.withColumn("_n", F.row_number().over(w).cast("long")).join(last, "stream_id", "left")
     rows = rows.withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("_n")).drop("last", "_n")
-    top = log.agg(F.coalesce(F.max("global_seq"), F.lit(0)).alias("top")).first()["top"]
+    if top is None:
+        top = log.agg(F.coalesce(F.max("global_seq"), F.lit(0)).alias("top")).first()["top"]
     return with_global_seq(rows, order, top)
 
 
@@ -80,12 +92,25 @@ def append_conflicts(log: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def append_after(log: DataFrame, messages: DataFrame) -> DataFrame:
-    """The log with messages whose callers chose seq: all, or none and ConcurrentAppendError."""
+    """The log with messages of one stream whose callers chose seq: all, or none and ConcurrentAppendError."""
+    if len(messages.select("stream_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("messages of one stream at a time")
     if not append_conflicts(log, messages).isEmpty():
         raise ConcurrentAppendError("stream_id, seq")
     return log.unionByName(messages, allowMissingColumns=True)
 
 
+def schedule(messages: DataFrame, at, now, start: int = 0, order: str = "id") -> DataFrame:
+    """Messages as rows of the schedule: schedule_id from start + 1 in order, available ``at`` (a time or a column), and
+    metadata (a map) with ``scheduled_at``."""
+    when = F.col(at) if isinstance(at, str) else F.lit(at)
+    old = F.col("metadata") if "metadata" in messages.columns else F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, v: k != "scheduled_at")
+    metadata = F.map_concat(kept, F.create_map(F.lit("scheduled_at"), F.lit(now).cast("string")))
+    rows = messages.withColumns({"available_at": when, "metadata": metadata})
+    return with_global_seq(rows, order, start).withColumnRenamed("global_seq", "schedule_id")
+
+
 def due(scheduled: DataFrame, now, limit: int | None = 100) -> DataFrame:
     """Scheduled messages to promote: available by ``now``, the first by id. The limit is the feature: one round's share."""
     rows = scheduled.where(F.col("available_at") <= F.lit(now)).orderBy("schedule_id")

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as N
+from .. import reactors as R
 from ..operators import consume as C
 from ..operators import evolve as E
 from ..operators import log as L
 from ..operators import messages as M
 from ..sources import log as S
+from ..sources.store import invalid
 from ..streaming import projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,10 +53,12 @@ def read_stream_bounds(spark, d):
     return L.read_stream(S.events_log(spark, d), "user-7", 3, 12).select(MSG)
 
 
-@query("select conv_id, turn + 1 as seq, role as type, length(coalesce(text, '')) as n_chars from conversations where conv_id = 3")
+@query("select conv_id, turn + 1 as seq, role as type, length(coalesce(text, '')) as n_chars, lag(turn + 1) over (partition by conv_id order by turn) as after from conversations")
 def conversation_history(spark, d):
-    c = S.table(spark, d, "conversations").where("conv_id = 3")
-    return c.select("conv_id", (F.col("turn") + 1).alias("seq"), F.col("role").alias("type"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+    """All conversations as streams, each message with the number of the one before it."""
+    c = S.table(spark, d, "conversations").withColumn("seq", F.col("turn") + 1)
+    after = F.lag("seq").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.select("conv_id", "seq", F.col("role").alias("type"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), after.alias("after"))
 
 
 @query(f"select stream_id, max(seq) as seq, max(created_at) as updated_at from ({EV}) group by 1 order by updated_at desc, stream_id limit 10")
@@ -92,6 +97,21 @@ def append_next_seq(spark, d):
     return L.append_next(old, new.select("stream_id", "type", F.col("global_seq").alias("arrival"))).select("stream_id", "seq", "type", "global_seq")
 
 
+@query(f"select stream_id, max(seq) as seq, max(created_at) as updated_at from ({EV}) group by 1")
+def stream_heads(spark, d):
+    """Kept heads, advanced by what is appended, are those of the whole log."""
+    old, new = _parts(spark, d)
+    return L.advanced(L.heads(old), new)
+
+
+@query(f"select stream_id, seq, type, global_seq from ({EV}) where {_NEW}")
+def append_next_by_heads(spark, d):
+    """Appending by the streams' heads alone: the log isn't read."""
+    old, new = _parts(spark, d)
+    top = old.agg(F.max("global_seq")).first()[0]
+    return L.append_next(old, new.select("stream_id", "type", F.col("global_seq").alias("arrival")), heads_=L.heads(old), top=top).select("stream_id", "seq", "type", "global_seq")
+
+
 @query(f"""with l as ({EV}), m as (select stream_id, seq - 5 as seq from l where {_NEW})
 select distinct stream_id, seq from m semi join (select stream_id, seq from l where {_OLD}) using (stream_id, seq)""")
 def append_conflicts(spark, d):
@@ -99,6 +119,14 @@ def append_conflicts(spark, d):
     return L.append_conflicts(old, new.select("stream_id", (F.col("seq") - 5).alias("seq")))
 
 
+@query(f"""select 500 + row_number() over (order by id) as schedule_id, id, stream_id, type, created_at + interval 2 days as available_at, '{NOW}' as scheduled_at
+  from ({CA}) where type = 'signup'""")
+def schedule_messages(spark, d):
+    """Messages put on the schedule, numbered on from 500, two days after their time."""
+    rows = S.events_log(spark, d, True).where("type = 'signup'").withColumn("due", F.expr("created_at + interval 2 days"))
+    return L.schedule(rows, "due", now(), 500).select("schedule_id", "id", "stream_id", "type", "available_at", F.col("metadata")["scheduled_at"].alias("scheduled_at"))
+
+
 def _scheduled(spark, d):
     return S.events_log(spark, d).where("type = 'view'").select(F.col("global_seq").alias("schedule_id"), "stream_id", "type", F.expr("created_at + interval 3 days").alias("available_at"))
 
@@ -160,6 +188,25 @@ def claim_batch(spark, d):
     return C.claim_batch(C.pending(*_consumer(spark, d), now()), 5).select(*PCOL, "replaying")
 
 
+@query(f"""select o.group_id, o.stream_id, o.global_seq, o.claimed or b.stream_id is not null as claimed,
+  case when b.stream_id is not null and not o.claimed then timestamp '{NOW}' else o.claimed_at end as claimed_at,
+  case when b.stream_id is not null and not o.claimed then 'worker9' else o.claimed_by end as claimed_by
+  from ({OF}) o left join (select distinct group_id, stream_id from ({_CLAIM})) b using (group_id, stream_id)""")
+def claim_streams(spark, d):
+    """Offsets with the streams of a batch claimed."""
+    log, groups, offsets = _consumer(spark, d)
+    batch = C.claim_batch(C.pending(log, groups, offsets, now()), 5)
+    return C.claim(offsets, batch, "worker9", now()).drop("high_water")
+
+
+@query(f"""with mark as (select group_id, max(high_water) as mark from ({OF}) group by 1)
+select global_seq, stream_id, group_id, global_seq <= mark as replaying from ({_PEND}) join mark using (group_id)""")
+def replay_flags_of_group(spark, d):
+    """The group-wide mark: what any of the group's streams had reached counts as replayed."""
+    log, groups, offsets = _consumer(spark, d)
+    return C.replaying_in_group(C.pending(log, groups, offsets, now()), offsets).select("global_seq", "stream_id", "group_id", "replaying")
+
+
 @query(f"""with b as ({_CLAIM}) select l.global_seq, l.stream_id, s.group_id, b.global_seq is not null as in_batch from ({EV}) l
 join (select distinct group_id, stream_id from b) s using (stream_id) left join b on b.group_id = s.group_id and b.global_seq = l.global_seq""")
 def claim_batch_history(spark, d):
@@ -177,7 +224,16 @@ _ACK = f"""select group_id, stream_id, coalesce(acked, global_seq) as global_seq
 def ack_offsets(spark, d):
     log, groups, offsets = _consumer(spark, d)
     batch = C.claim_batch(C.pending(log, groups, offsets, now()), 5)
-    return C.ack(offsets, batch).drop("claimed_by")
+    return C.ack(offsets, batch).drop("claimed_at", "claimed_by")
+
+
+@query(f"""with m as (select 'group1' as group_id, stream_id, global_seq as acked from ({CA}) where id = md5('120'))
+select o.group_id, o.stream_id, coalesce(acked, global_seq) as global_seq, greatest(high_water, coalesce(acked, 0)) as high_water from ({OF}) o left join m using (group_id, stream_id)
+union all select group_id, stream_id, acked, acked from m where not exists (select 1 from ({OF}) o where o.group_id = m.group_id and o.stream_id = m.stream_id)""")
+def ack_one(spark, d):
+    """One message acknowledged by its id."""
+    log = S.events_log(spark, d, True)
+    return C.ack_on(log, S.offsets(S.events_log(spark, d)).withColumn("claimed", F.lit(False)), "group1", "da4fb5c6e93e74d3df8527599fa62642").select("group_id", "stream_id", "global_seq", "high_water")
 
 
 @query(f"select group_id, stream_id, case when group_id = 'group1' then 0 else global_seq end as global_seq, high_water from ({OF})")
@@ -207,11 +263,35 @@ def error_backoff(spark, d):
     return C.after_error(S.groups(spark), now(), 2, 3)
 
 
-@query(f"""select group_id, stream_id, global_seq, claimed and coalesce(claimed_by, '') <> 'worker1' as claimed, case when coalesce(claimed_by, '') <> 'worker1' then claimed_by end as claimed_by from ({OF})""")
+_STALE = "claimed and coalesce(claimed_at <= timestamp '2024-01-19 23:58:00' and claimed_by in ('worker1'), false)"
+
+
+@query(f"""select group_id, stream_id, global_seq, claimed and not ({_STALE}) as claimed, case when not ({_STALE}) then claimed_at end as claimed_at,
+  case when not ({_STALE}) then claimed_by end as claimed_by from ({OF})""")
 def release_stale_claims(spark, d):
+    """worker1 was last seen long ago, worker2 just now, worker0 never: old claims of worker1 are let go."""
+    return C.release_stale(_consumer(spark, d)[2], _workers(spark), now("2024-01-19 23:58:00")).drop("high_water")
+
+
+def _workers(spark):
     seen = [("worker1", "2024-01-19 23:50:00"), ("worker2", "2024-01-19 23:59:59")]
-    workers = spark.createDataFrame(seen, "id string, last_seen string").withColumn("last_seen", F.to_timestamp_ntz("last_seen"))
-    return C.release_stale(_consumer(spark, d)[2], workers, now("2024-01-19 23:58:00"))
+    return spark.createDataFrame(seen, "id string, last_seen string").withColumn("last_seen", F.to_timestamp_ntz("last_seen"))
+
+
+@query(f"select * from (values ('worker1', timestamp '2024-01-19 23:50:00'), ('worker2', timestamp '{NOW}'), ('worker3', timestamp '{NOW}')) as w(id, last_seen)")
+def worker_heartbeats(spark, d):
+    return C.heartbeat(_workers(spark), ["worker2", "worker3", "worker3"], now())
+
+
+@query(f"select group_id, status, retry_at, retries from ({GR}) union all select 'group5', 'active', null, 0")
+def register_groups(spark, d):
+    return C.register(S.groups(spark), ["group4", "group5", "group5"], now())
+
+
+@query(f"""select group_id, case group_id when 'group1' then 'stopped' when 'group3' then 'active' else status end as status,
+  case when group_id <> 'group3' then retry_at end as retry_at, case when group_id = 'group3' then 0 else retries end as retries from ({GR})""")
+def stop_and_start_groups(spark, d):
+    return C.start(C.stop(S.groups(spark), "group1", "upkeep", now()), "group3", now())
 
 
 @query(f"""select group_id, stream_id, global_seq from (select group_id, stream_id, global_seq, min(case when type = 'error' then global_seq end) over (partition by group_id, stream_id) as f
@@ -294,9 +374,24 @@ def follow_messages(spark, d):
     return M.follow(S.events_log(spark, d, True).where("type = 'signup'"), "notify").select(FCOL)
 
 
-@query(f"select id, global_seq, row_number() over (partition by correlation_id order by global_seq) - 1 as depth from ({CA})")
+_TREE = f"""select id, global_seq, causation_id from ({CA})
+  union all select md5(id || ':ship:0'), 10000000 + global_seq, id from ({CA}) where type = 'purchase'
+  union all select md5(md5(id || ':ship:0') || ':' || t || ':0'), n * 10000000 + global_seq, md5(id || ':ship:0') from ({CA}), (values ('shipped', 2), ('thank', 3)) as v(t, n) where type = 'purchase'"""
+
+
+@query(f"""with recursive l as materialized ({_TREE}), t as (select id, global_seq, 0::bigint as depth from l where causation_id = id or causation_id not in (select id from l)
+  union all select l.id, l.global_seq, t.depth + 1 from l join t on l.causation_id = t.id and l.id <> t.id) select id, global_seq, depth from t""")
 def causation_depth(spark, d):
-    return M.causation_depth(S.events_log(spark, d, True))
+    """Depth in the tree of causes: chains of events, from which commands and what follows them branch off."""
+    log = S.events_log(spark, d, True)
+    shift = lambda df, n: df.withColumn("global_seq", F.col("global_seq") + n * 10000000)
+    bought = log.where("type = 'purchase'")
+    gs = bought.select(F.col("id").alias("cause"), "global_seq")
+    ship = M.follow(bought, "ship")
+    ship = shift(ship.join(gs, ship["causation_id"] == gs["cause"]).drop("cause"), 1)
+    both = [M.follow(ship, t).join(ship.select(F.col("id").alias("cause"), (F.col("global_seq") + n * 10000000).alias("global_seq")), F.col("causation_id") == F.col("cause")) for n, t in ((1, "shipped"), (2, "thank"))]
+    cols = ["id", "global_seq", "causation_id"]
+    return M.causation_depth(log.select(cols).unionByName(ship.select(cols)).unionByName(both[0].select(cols)).unionByName(both[1].select(cols)))
 
 
 @query(f"""with recursive l as ({CA}), a as (select id, causation_id from l where id = md5('120') union
@@ -305,6 +400,16 @@ def causation_chain(spark, d):
     return M.ancestors(S.events_log(spark, d, True), "da4fb5c6e93e74d3df8527599fa62642").select("id", "global_seq")
 
 
+@query(f"""select md5(id || ':ship:0') as id, 'stock-' || (k % 5) as stream_id, 'ship' as type, id as causation_id, '{{"k":' || k || '}}' as payload,
+  greatest(created_at, created_at + interval 1 hour) as created_at, 'shop' as producer, type as via from ({CA}) where type = 'purchase' and k >= 10""")
+def reaction_commands(spark, d):
+    """Commands with a payload, a stream, a time and metadata of their own."""
+    log = S.events_log(spark, d, True)
+    ship = M.Dispatch("ship", F.col("k") >= 10, F.to_json(F.struct("k")), F.concat(F.lit("stock-"), (F.col("k") % 5).cast("string")), F.expr("created_at + interval 1 hour"), F.create_map(F.lit("via"), F.col("type")))
+    rows = M.reactions(log, [(["purchase"], [ship])], "shop")
+    return rows.select("id", "stream_id", "type", "causation_id", "payload", "created_at", F.col("metadata")["producer"].alias("producer"), F.col("metadata")["via"].alias("via"))
+
+
 _REACT = f"""select md5(id || ':' || c || ':0') as id, stream_id, c as type, id as causation_id, correlation_id from ({CA}) join
   (values ('purchase', 'ship', 0), ('purchase', 'thank', 50), ('error', 'alert', -1)) as h(t, c, least) on type = t and k >= least"""
 
@@ -342,19 +447,53 @@ def order_states(spark, d):
     return log.groupBy("stream_id").agg(F.count(F.when(F.col("type") == "item_added", 1)).alias("items"), F.sum("cents").alias("cents"), F.bool_or(F.col("type") == "order_placed").alias("placed"))
 
 
-@query(f"""with c as ({CA}), one as (select * from c where type = 'purchase'), two as (select md5(id || ':ship:0') as id, id as causation_id, correlation_id, 1 as level from one),
-three as (select md5(id || ':shipped:0') as id, id as causation_id, correlation_id, 2 from two)
-select id, causation_id, correlation_id, 0 as level from one union all select * from two union all select * from three""")
+_SAYS = [("purchase", "ship"), ("ship", "shipped"), ("ship", "bill"), ("shipped", "thank")]
+
+
+@query(f"""with recursive h(t, c) as (values {', '.join(map(str, _SAYS))}),
+m as (select id, type, causation_id, correlation_id, 0 as level from ({CA}) where type = 'purchase'
+  union all select md5(m.id || ':' || c || ':0'), c, m.id, correlation_id, level + 1 from m join h on m.type = h.t) select * from m""")
 def unit_cascade(spark, d):
-    """Purchases and what follows from them, level by level until a level is empty; the limit counts messages."""
-    types, level = {"purchase": "ship", "ship": "shipped"}, 0
-    at = S.events_log(spark, d, True).where("type = 'purchase'").select("id", "stream_id", "type", "causation_id", "correlation_id", "created_at")
-    kind, out = "purchase", at.withColumn("level", F.lit(0))
-    while kind in types:
-        kind, level = types[kind], level + 1
-        at = M.follow(at, kind)
-        out = out.unionByName(at.withColumn("level", F.lit(level)))
-    return out.select("id", "causation_id", "correlation_id", "level")
+    """Purchases and all that handlers make of them, level by level until nobody says anything; the limit counts messages."""
+    first = S.events_log(spark, d, True).where("type = 'purchase'").select("id", "stream_id", "type", "causation_id", "correlation_id", "created_at")
+    handlers = [([t], [(c, F.lit(True))]) for t, c in _SAYS]
+    return M.cascade(first, lambda df: M.reactions(df, handlers), 10000).select("id", "type", "causation_id", "correlation_id", "level")
+
+
+class Desk(R.Actor):
+    """Ships an order once, if it was placed."""
+
+
+@Desk.event("item_added")
+def _added(state, e):
+    state["cents"] = state.get("cents", 0) + e.payload["cents"]
+
+
+@Desk.event("order_placed", "shipped")
+def _marked(state, e):
+    state[e.type] = True
+
+
+@Desk.command("ship")
+def _ship(state, c, apply):
+    if state.get("order_placed") and not state.get("shipped"):
+        apply("shipped")
+        apply("billed", {"cents": state.get("cents", 0)})
+    else:
+        apply("refused")
+
+
+@query(f"""with o as (select stream_id, max(seq) as last, sum(cents)::bigint as cents, bool_or(type = 'order_placed') as placed from ({OR}) group by 1),
+e(placed, n, type, command) as (values (true, 1, 'shipped', 1), (true, 2, 'billed', 1), (true, 3, 'refused', 2), (false, 1, 'refused', 1), (false, 2, 'refused', 2))
+select stream_id, last + n as seq, type, case when type = 'billed' then '{{"cents": ' || cents || '}}' else '{{}}' end as payload, md5(stream_id || ':ship:' || command) as causation_id, 'append_after' as action
+from o join e using (placed)""")
+def run_actor(spark, d):
+    """Two commands to every order: state and numbers go through both, and on from the stream's last."""
+    log = S.orders_log(spark, d).withColumn("payload", F.to_json(F.struct("cents")))
+    n = F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))
+    asked = log.select("stream_id").distinct().select("stream_id", n.alias("seq"), F.lit("ship").alias("type"))
+    asked = asked.withColumn("id", F.md5(F.concat_ws(":", "stream_id", "type", F.col("seq").cast("string"))))
+    return R.run_reactor(log, asked, Desk, datetime(2024, 1, 20)).select("stream_id", "seq", "type", "payload", "causation_id", "action")
 
 
 _STEP = f"""select stream_id, 'step-' || (k % 3) as key, seq, case type when 'view' then 'started' when 'error' then 'failed' when 'purchase' then 'complete' end as status
@@ -372,28 +511,91 @@ def workflow_steps(spark, d):
     return _steps(spark, d).groupBy("stream_id", "key").agg(F.max_by("status", "seq").alias("status"), F.count(F.when(F.col("status") == "started", 1)).alias("attempts"))
 
 
+@query(f"""select global_seq, sha256('{{"name":"' || type || '","args":[' || k || ',"' || stream_id || '"]}}') as key from ({EV})""")
+def workflow_step_keys(spark, d):
+    args = F.concat(F.lit("["), F.col("k").cast("string"), F.lit(',"'), F.col("stream_id"), F.lit('"]'))
+    return S.events_log(spark, d).select("global_seq", N.step_key(F.col("type"), args).alias("key"))
+
+
 @query(f"select stream_id, key, seq, count(case when status = 'started' then 1 end) over (partition by stream_id, key order by seq) as attempts from ({_STEP})")
 def workflow_attempts(spark, d):
     w = Window.partitionBy("stream_id", "key").orderBy("seq")
     return _steps(spark, d).select("stream_id", "key", "seq", F.count(F.when(F.col("status") == "started", 1)).over(w).alias("attempts"))
 
 
-_EDGES = [("place", "placed"), ("placed", "placed-shop-aut"), ("placed-shop-aut", "ship"), ("ship", "shipped"), ("shipped", "orders-rm"), ("placed", "orders-rm")]
+class Shop(R.Actor):
+    pass
+
+
+@Shop.command("place")
+def _place(state, c, apply):
+    apply("placed")
+
+
+@Shop.command("ship")
+def _send(state, c, apply):
+    apply(_SHIPPED)
+
+
+_SHIPPED = "shipped"
+Shop.event("placed", "shipped")()
+
+
+@Shop.reaction("placed")
+def _next(state, e, dispatch):
+    dispatch("ship", {"order": e.stream_id})
+
+
+class Orders(R.Projector):
+    pass
+
+
+Orders.event("placed", "shipped")()
+
+
+@Orders.reaction("shipped")
+def _tell(state, e, dispatch):
+    dispatch("place")
+
+
+#: What those handlers say, written out by hand for the oracle.
+_EDGES = [("place", "placed"), ("ship", "shipped"), ("placed", "placed-Shop-aut"), ("placed-Shop-aut", "ship"), ("placed", "Orders-rm"), ("shipped", "Orders-rm"), ("Orders-rm", "shipped-Orders-aut"), ("shipped-Orders-aut", "place")]
 _EV = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") as e(source, target)"
 
 
 @query(f"select * from {_EV}")
 def topology_edges(spark, d):
-    return spark.createDataFrame(_EDGES, "source string, target string")
+    """The flow of messages between two reactors, read from the source of their handlers."""
+    return spark.createDataFrame(R.topology(Shop, Orders)[1], "source string, target string")
 
 
 @query(f"with recursive r as (select source as origin, target from {_EV} union select r.origin, e.target from r join {_EV} on e.source = r.target) select origin, target from r")
 def topology_reachability(spark, d):
-    edges = topology_edges(spark, d)  # a node for each message type: known to the driver
-    reach = {(r["source"], r["target"]) for r in edges.collect()}
-    while new := {(a, d2) for a, b in reach for c, d2 in _EDGES if c == b} - reach:
-        reach |= new
-    return spark.createDataFrame(sorted(reach), "origin string, target string")
+    edges = topology_edges(spark, d)
+    step, found, size = edges.toDF("source", "next"), edges.toDF("origin", "target"), 0
+    while (now_ := found.count()) > size:  # a node for each message type: small
+        size = now_
+        found = found.unionByName(found.join(step, F.col("target") == F.col("source")).select("origin", F.col("next").alias("target"))).distinct()
+    return found
+
+
+@query("""select n_name, 'main_' || lower(replace(n_name, '_', '')) as from_camel, lower(n_name) as from_dashes, 'http_main_' || lower(replace(n_name, '_', '')) as from_capitals,
+  'Main' || upper(n_name[1]) || lower(replace(n_name[2:], '_', '')) as class_name from nation""")
+def name_cases(spark, d):
+    """CamelCase, dashes and runs of capitals to underscores, and underscores to a class name."""
+    n = F.lower("n_name")
+    camel = N.class_name(F.concat(F.lit("main_"), n))
+    return S.table(spark, d, "nation").select("n_name", N.underscored(camel).alias("from_camel"), N.underscored(F.replace(n, F.lit("_"), F.lit("-"))).alias("from_dashes"), N.underscored(F.concat(F.lit("HTTP"), camel)).alias("from_capitals"), camel.alias("class_name"))
+
+
+@query(f"""select global_seq, type, case when type = 'error' then 'unknown type' else 'k is no tinyint' end as error
+  from (select event_id + 1 as global_seq, event_type as type, json_extract_string(props, '$.k') as k from events) where type = 'error' or (type = 'purchase' and try_cast(k as tinyint) is null)""")
+def invalid_messages(spark, d):
+    """Messages that a registry wouldn't take: errors are unknown to it, purchases need a small number."""
+    e = S.table(spark, d, "events")
+    log = e.select((F.col("event_id") + 1).alias("global_seq"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("stream_id"), F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    types = {t: {} for t in ("view", "click", "signup")} | {"purchase": {"k": "tinyint"}}
+    return invalid(log, types).select("global_seq", "type", "error")
 
 
 @query(r"""select n_name, lower(replace(n_name, ' ', '_')) as snake, replace('Shop::' || n_name, '::', '.') as dotted, 'Shop::' || n_name as path,

@@ -6,10 +6,13 @@ actor over a log DataFrame, one stream after another in each task.
 
 from __future__ import annotations
 
+import ast
+import copy
 import hashlib
 import inspect
 import json
-import re
+import textwrap
+import traceback
 from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -95,6 +98,11 @@ class Registry:
 class Reactor:
     """Handlers by message type. A subclass starts with copies of its parent's; a type is a command or an event reacted to, not both."""
 
+    @classmethod
+    def identity_from(cls, m: Message) -> str:
+        """The stream of the instance that handles a message."""
+        return m.stream_id
+
     commands: dict[str, Callable] = {}
     events: dict[str, Callable | None] = {}
     reacts: dict[str | None, list[Callable]] = {}
@@ -212,6 +220,16 @@ class Memory:
     def stream(self, stream_id: str, after: int = 0, upto: int | None = None) -> list[Message]:
         return [m for m in self.log if m.stream_id == stream_id and m.seq > after and (upto is None or m.seq <= upto)]
 
+    def recent(self, limit: int = 10) -> list[tuple[str, int, datetime]]:
+        """(stream, last seq, time) of the streams with the latest messages."""
+        if limit < 0:
+            raise ValueError("limit must not be negative")
+        last: dict[str, tuple] = {}
+        for m in self.log:
+            seq, at = last.get(m.stream_id, (0, m.created_at))
+            last[m.stream_id] = max(seq, m.seq), max(at, m.created_at)
+        return sorted(((s, *x) for s, x in last.items()), key=lambda x: (-x[2].timestamp(), x[0]))[:limit]
+
     def correlated(self, message_id: str) -> list[Message]:
         of = {m.correlation_id for m in self.log if m.id == message_id}
         return [m for m in self.log if m.correlation_id in of]
@@ -237,7 +255,8 @@ class Memory:
         self.log += messages
 
     def promote(self, now: datetime, limit: int = 100) -> int:
-        due = [m for m in self.scheduled if m.created_at <= now][:limit]
+        """Messages that are due go to the log, the earliest first, of one time in the order they came in; their number."""
+        due = sorted((m for m in self.scheduled if m.created_at <= now), key=lambda m: m.created_at)[:limit]
         taken = {id(m) for m in due}
         self.scheduled = [m for m in self.scheduled if id(m) not in taken]
         self.append_next(replace(m, created_at=now) for m in due)
@@ -250,6 +269,7 @@ class Unit:
     def __init__(self, memory: Memory, *reactors: type[Reactor], max_iterations: int = 100, persist_commands: bool = True):
         self.memory, self.reactors, self.max, self.persist = memory, reactors, max_iterations, persist_commands
         self.produced: dict[tuple[str, str], list[Message]] = {}
+        self.instances: dict[tuple[str, str], Reactor] = {}
 
     def handle(self, message: Message, now: datetime | None = None) -> list[Message]:
         """Messages handled, in order. Those of a later time than ``now`` (the message's own, if not given) are scheduled."""
@@ -272,34 +292,66 @@ class Unit:
             raise
 
     def _step(self, r: type[Reactor], m: Message, now: datetime) -> list[Message]:
-        actor = r(m.stream_id)
-        history = [x for x in self.memory.stream(m.stream_id)]
+        instance = r.identity_from(m)
+        actor = r(instance)
+        history = self.memory.stream(instance)
+        actor.evolve(history)
         if m.type in r.commands:
-            actor.evolve(history)
             actor.seq = max((x.seq for x in history), default=0)
             new = actor.decide(m)
-            self.memory.append_after(new)
+            if new:
+                self.memory.append_after(new)
+            said = new, m
         else:
-            actor.evolve(history)
             out = actor.react(m)
             self.memory.scheduled += [x for x in out if x.created_at > now]
             live = [x for x in out if x.created_at <= now]
             new = self.memory.append_next(live) if self.persist else live
-        self.produced.setdefault((r.group_id, m.stream_id), []).extend(new)
+            said = [m] if m.type in r.events else [], None
+        for f in getattr(r, "syncs", []):
+            f(actor.state, *said)
+        self.produced.setdefault((r.group_id, instance), []).extend(new)
+        self.instances[r.group_id, instance] = actor
         return [x for x in new if any(x.type in q.handled() for q in self.reactors)]
 
+    def __getitem__(self, key: tuple[type[Reactor], str]) -> Reactor | None:
+        """The last instance of a reactor that handled a message of a stream."""
+        return self.instances.get((key[0].group_id, key[1]))
+
+    def events_for(self, reactor: type[Reactor], stream_id: str) -> list[Message]:
+        """What a reactor's instances of a stream produced, in order."""
+        return self.produced.get((reactor.group_id, stream_id), [])
+
 
 class Halt(Exception):
     """A workflow's step has said something; it goes on when that is in the log."""
 
 
+def step_key(name: str, args: list | tuple) -> str:
+    """Key of a workflow step: the same in every process, and as ``functions.step_key`` has it."""
+    return hashlib.sha256(json.dumps({"name": name, "args": list(args)}, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
 class Workflow:
     """A durable workflow: ``execute`` runs again after every event; steps that are complete give their stored output.
 
-    ``retries`` is the number of attempts in all. Step keys are the same in every process.
+    ``retries`` is the number of attempts in all. Step keys are the same in every process. A subclass with a ``prefix`` of
+    its own has its events under that name.
     """
 
     retries = 0
+    prefix = ""
+    #: Events of a workflow, and those it goes on after. Fixed values.
+    SAYS = ("workflow.started", "context.updated", "workflow.complete", "workflow.failed", "step.started", "step.failed", "step.complete", "wait.started", "wait.ended")
+    UNHANDLED = ("context.updated", "workflow.failed")
+
+    @classmethod
+    def typed(cls, name: str) -> str:
+        return f"{cls.prefix}.{name}" if cls.prefix else name
+
+    @classmethod
+    def handled(cls) -> set[str]:
+        return {cls.typed(n) for n in cls.SAYS if n not in cls.UNHANDLED}
 
     def execute(self, *args):
         raise NotImplementedError
@@ -308,31 +360,34 @@ class Workflow:
         self.stream_id, self.now, self.context, self.waits = stream_id, now, {}, 0
         self.steps: dict[str, dict] = {}
         self.waiting: dict[int, bool] = {}
-        self.status, self.out, self.seq, self.args = "new", [], 0, []
+        self.status, self.out, self.seq, self.args, self.output = "new", [], 0, [], None
 
     def evolve(self, events: Iterable[Message]) -> None:
+        skip = len(self.prefix) + 1 if self.prefix else 0
         for e in events:
-            self.seq, p = e.seq, e.payload
-            if e.type == "workflow.started":
+            self.seq, p, kind = e.seq, e.payload, e.type[skip:]
+            if self.prefix and not e.type.startswith(self.prefix + "."):
+                continue
+            if kind == "workflow.started":
                 self.status, self.args = "started", p["args"]
-            elif e.type.startswith("step."):
+            elif kind.startswith("step."):
                 s = self.steps.setdefault(p["key"], {"attempts": 0})
-                s["status"] = e.type[5:]
-                s["attempts"] += e.type == "step.started"
-                s["output"] = p.get("output")
-            elif e.type == "context.updated":
-                self.context = dict(p["context"])
-            elif e.type in ("wait.started", "wait.ended"):
-                self.waiting[p["count"]] = e.type == "wait.ended"
-            elif e.type in ("workflow.complete", "workflow.failed"):
-                self.status = e.type[9:]
-
-    def _say(self, type_: str, **payload) -> None:
+                s["status"] = kind[5:]
+                s["attempts"] += kind == "step.started"
+                s["output"], s["backtrace"] = p.get("output"), p.get("backtrace")
+            elif kind == "context.updated":
+                self.context = copy.deepcopy(p["context"])
+            elif kind in ("wait.started", "wait.ended"):
+                self.waiting[p["count"]] = kind == "wait.ended"
+            elif kind in ("workflow.complete", "workflow.failed"):
+                self.status, self.output = kind[9:], p.get("output")
+
+    def _say(self, name: str, **payload) -> None:
         self.seq += 1
-        self.out.append(Message(type_, self.stream_id, payload, seq=self.seq, created_at=self.now))
+        self.out.append(Message(self.typed(name), self.stream_id, payload, seq=self.seq, created_at=self.now))
 
     def step(self, f: Callable, *args):
-        key = hashlib.sha256(json.dumps([f.__name__, args], sort_keys=True, default=str).encode()).hexdigest()
+        key = step_key(f.__name__, args)
         s = self.steps.get(key, {"status": None, "attempts": 0})
         if s["status"] == "complete":
             return s["output"]
@@ -342,7 +397,8 @@ class Workflow:
             try:
                 self._say("step.complete", key=key, step_name=f.__name__, output=f(*args))
             except Exception as e:
-                self._say("step.failed", key=key, step_name=f.__name__, error_message=str(e), error_class=type(e).__name__)
+                told = traceback.format_exception(e)
+                self._say("step.failed", key=key, step_name=f.__name__, error_message=str(e), error_class=type(e).__name__, backtrace=told)
                 if s["attempts"] >= self.retries:
                     self._say("workflow.failed")
         raise Halt
@@ -357,33 +413,79 @@ class Workflow:
 
     @classmethod
     def handle(cls, history: list[Message], now: datetime) -> list[Message]:
-        """What the workflow says next, given its stream so far; nothing once it has ended."""
+        """What the workflow says next, given its stream so far; nothing once it has ended. A context that changed is said
+        before the end."""
         flow = cls(history[0].stream_id, now)
         flow.evolve(history)
         if flow.status != "started":
             return []
-        before = dict(flow.context)
+        before, result, ended = copy.deepcopy(flow.context), None, False
         try:
-            result = flow.execute(*flow.args)
-            flow._say("workflow.complete", output=result)
+            result, ended = flow.execute(*copy.deepcopy(flow.args)), True
         except Halt:
             pass
         if flow.context != before:
-            flow._say("context.updated", context=flow.context)
+            flow._say("context.updated", context=copy.deepcopy(flow.context))
+        if ended:
+            flow._say("workflow.complete", output=result)
         return flow.out
 
 
-def topology(*reactors: type[Reactor]) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
-    """(nodes: id, kind, group; edges: from, to) of the flow of messages, read from the source of the handlers."""
-    nodes, edges = {}, []
-
-    def said(f: Callable) -> list[str]:
+def _value(node: ast.expr, names: dict) -> Any:
+    """What an expression of constants, names, attributes and subscripts stands for where its function was defined."""
+    if isinstance(node, ast.Constant):
+        return node.value
+    if isinstance(node, ast.Name):
+        return names.get(node.id)
+    if isinstance(node, ast.Attribute):
+        return getattr(_value(node.value, names), node.attr, None)
+    if isinstance(node, ast.Subscript):
         try:
-            source = inspect.getsource(f)
-        except (OSError, TypeError):
-            return []
-        return list(dict.fromkeys(re.findall(r"\b(?:apply|dispatch)\(\s*[\"']([^\"']+)[\"']", source)))
+            return _value(node.value, names)[_value(node.slice, names)]
+        except (KeyError, IndexError, TypeError):
+            return None
+    if isinstance(node, ast.JoinedStr):
+        parts = [_value(v.value if isinstance(v, ast.FormattedValue) else v, names) for v in node.values]
+        return "".join(map(str, parts)) if None not in parts else None
+    return None
+
+
+def said(f: Callable) -> list[str]:
+    """Message types that a handler applies or dispatches, read from its source: first arguments of calls of the functions it was
+    given, resolved in its closure, its module and the builtins."""
+    try:
+        tree = ast.parse(textwrap.dedent(inspect.getsource(f)))
+        scope = inspect.getclosurevars(f)
+    except (OSError, TypeError, SyntaxError, ValueError):
+        return []
+    names = {**scope.builtins, **getattr(f, "__globals__", {}), **scope.globals, **scope.nonlocals}
+    given = set(list(inspect.signature(f).parameters)[2:]) or {"apply", "dispatch"}
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in given and node.args:
+            value = _value(node.args[0], names)
+            value = value if isinstance(value, str) else getattr(value, "type", None)
+            if isinstance(value, str):
+                out.append((node.lineno, node.col_offset, value))
+    return list(dict.fromkeys(v for _, _, v in sorted(out)))
+
+
+_TOPOLOGIES: dict[tuple, tuple] = {}
+
+
+def reset_topology() -> None:
+    """Reactors changed: topologies are read anew."""
+    _TOPOLOGIES.clear()
 
+
+def topology(*reactors: type[Reactor]) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
+    """(nodes: id, kind, group; edges: from, to) of the flow of messages, read from the source of the handlers, once.
+
+    An event belongs to the first reactor that has it. Automations consume events, those of projectors the read model.
+    """
+    if reactors in _TOPOLOGIES:
+        return _TOPOLOGIES[reactors]
+    nodes, edges = {}, []
     for r in reactors:
         for c, f in r.commands.items():
             nodes.setdefault(c, (c, "command", r.group_id))
@@ -398,29 +500,72 @@ def topology(*reactors: type[Reactor]) -> tuple[list[tuple[str, str, str]], list
             at = f"{t}-{r.group_id}-aut" if t else f"{r.group_id}-aut"
             nodes[at] = (at, "automation", r.group_id)
             sources = [model] if issubclass(r, Projector) else [t] if t else [e for e in r.events if e not in r.reacts]
-            edges += [(s, at) for s in sources] + [(at, c) for f in fs for c in said(f)]
-    return list(nodes.values()), list(dict.fromkeys(edges))
+            edges += [(x, at) for x in sources] + [(at, c) for f in fs for c in said(f)]
+    _TOPOLOGIES[reactors] = list(nodes.values()), list(dict.fromkeys(edges))
+    return _TOPOLOGIES[reactors]
 
 
-def run_actor(log, actor: type[Actor]):
-    """The events an actor decides for the commands in a log DataFrame (stream_id, seq, type, payload as JSON), state and
-    numbers threaded through each stream; streams are read in order and never gathered."""
+#: What a reactor over DataFrames gives: messages and where they go.
+SAID = "action string, id string, stream_id string, seq long, type string, payload string, metadata string, created_at timestamp_ntz, causation_id string, correlation_id string"
+
+
+def run_reactor(log, pending, reactor: type[Reactor], now: datetime, identity=None):
+    """What a reactor says to ``pending`` messages, given the log: rows of SAID, with ``action`` append_after, append_next or schedule.
+
+    Both are DataFrames of id, stream_id, seq, type, payload (JSON) and, if they have them, created_at, causation_id,
+    correlation_id, metadata (JSON) and replaying; pending rows may be in the log as well. Instances are told apart by
+    ``identity``, a column, by default the stream. All of an instance's log is taken in first, then its pending messages
+    come in order of seq: state and numbers are threaded through them, so no two events get one number, and those go on
+    from the stream's last. Replayed messages are skipped. Streams are read from sorted partitions and never gathered.
+    """
     import pandas as pd
+    from pyspark.sql import functions as F
+
+    identity = F.col("stream_id") if identity is None else identity
+    kinds = {"id": "string", "stream_id": "string", "seq": "long", "type": "string", "payload": "string", "metadata": "string", "created_at": "timestamp_ntz", "causation_id": "string", "correlation_id": "string", "replaying": "boolean"}
+
+    def rows(df, late: bool):
+        columns = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
+        return df.select(identity.alias("instance"), F.lit(late).alias("late"), *columns)
+
+    def message(row) -> Message:
+        text = lambda v: v if isinstance(v, str) else ""
+        at = now if pd.isna(row.created_at) else row.created_at.to_pydatetime()
+        return Message(row.type, row.stream_id, json.loads(text(row.payload) or "{}"), text(row.id), int(row.seq), at, text(row.causation_id), text(row.correlation_id), json.loads(text(row.metadata) or "{}"))
 
     def run(frames):
-        at = None
+        one, names = None, [f.split()[0] for f in SAID.split(", ")]
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                if at is None or at.stream_id != row.stream_id:
-                    at = actor(row.stream_id)
-                m = Message(row.type, row.stream_id, json.loads(row.payload or "{}"), seq=row.seq)
-                if row.type in actor.commands:
-                    for e in at.decide(m):
-                        out.append((e.stream_id, e.seq, e.type, json.dumps(e.payload, sort_keys=True), e.causation_id))
-                elif row.seq > at.seq:
-                    at.evolve([m])
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "type", "payload", "causation_id"])
-
-    rows = log.select("stream_id", "seq", "type", "payload").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    return rows.mapInPandas(run, "stream_id string, seq long, type string, payload string, causation_id string")
+                if one is None or one.stream_id != row.instance:
+                    one = reactor(row.instance)
+                if not row.late:
+                    if row.type in reactor.events and row.stream_id == one.stream_id:
+                        one.evolve([message(row)])
+                    elif row.stream_id == one.stream_id:
+                        one.seq = max(one.seq, int(row.seq))
+                    continue
+                if row.replaying is True:
+                    continue
+                m = message(row)
+                if m.type in reactor.commands:
+                    said_ = [("append_after", e) for e in one.decide(m)]
+                else:
+                    said_ = [("schedule" if e.created_at > now else "append_next", e) for e in one.react(m)]
+                for n, (action, e) in enumerate(said_):
+                    id_ = hashlib.md5(f"{m.id}:{e.type}:{n}".encode()).hexdigest()
+                    out.append((action, id_, e.stream_id, e.seq if action == "append_after" else None, e.type, json.dumps(e.payload, sort_keys=True), json.dumps(e.metadata, sort_keys=True), e.created_at, e.causation_id, e.correlation_id))
+            yield pd.DataFrame(out, columns=names).astype({"seq": "Int64", "created_at": "datetime64[us]"})
+
+    both = rows(log, False).unionByName(rows(pending, True))
+    return both.repartition("instance").sortWithinPartitions("instance", "late", "seq", "id").mapInPandas(run, SAID)
+
+
+def run_actor(log, actor: type[Actor]):
+    """The events an actor decides for the commands in a log DataFrame (stream_id, seq, type, payload as JSON), numbered on from
+    each stream's last."""
+    from pyspark.sql import functions as F
+
+    commands = log.where(F.col("type").isin(list(actor.commands)))
+    return run_reactor(log, commands, actor, datetime(1970, 1, 1)).select("stream_id", "seq", "type", "payload", "causation_id")

@@ -1,4 +1,4 @@
-"""The message log as a DataFrame, over the test tables and as stored segments.
+"""The message log as a DataFrame, over the test tables; ``store`` has logs of one's own.
 
 A log has global_seq, id, stream_id, seq, type, created_at, causation_id, correlation_id and the payload's columns.
 """
@@ -80,12 +80,13 @@ def offsets(log: DataFrame) -> DataFrame:
         F.floor(F.col("top") * F.col("g") / 4).cast("long").alias("global_seq"),
         F.floor(F.col("top") * 0.8).cast("long").alias("high_water"),
         ((F.col("n") + F.col("g")) % 7 == 0).alias("claimed"),
+        F.when((F.col("n") + F.col("g")) % 7 == 0, F.to_timestamp_ntz(F.lit("2024-01-19 23:50:00")) + F.make_dt_interval(mins=(F.col("n") % 20).cast("int"))).alias("claimed_at"),
         F.when((F.col("n") + F.col("g")) % 7 == 0, F.concat(F.lit("worker"), (F.col("n") % 3).cast("string"))).alias("claimed_by"),
     )
 
 
 OFFSETS_SQL = f"""select concat('group', g) as group_id, stream_id, cast(floor(top * g / 4.0) as bigint) as global_seq, cast(floor(top * 0.8::double) as bigint) as high_water,
-  (n + g) % 7 = 0 as claimed, case when (n + g) % 7 = 0 then concat('worker', n % 3) end as claimed_by
+  (n + g) % 7 = 0 as claimed, case when (n + g) % 7 = 0 then timestamp '2024-01-19 23:50:00' + to_minutes(cast(n % 20 as integer)) end as claimed_at, case when (n + g) % 7 = 0 then concat('worker', n % 3) end as claimed_by
   from (select stream_id, max(global_seq) as top, cast(split_part(stream_id, '-', 2) as bigint) as n from ({EVENTS_SQL}) group by stream_id)
   cross join (values (1), (2), (3)) as t(g) where (n + g) % 5 <> 0"""
 

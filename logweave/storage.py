@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; one of our own only in local mode, where that is unset."""
     key = "spark.checkpoint.dir"
     where = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {key} to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="logweave-")
         spark.conf.set(key, where)
     return where.rstrip("/")
