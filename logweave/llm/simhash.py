@@ -1,7 +1,8 @@
 """SimHash near-dedup with BK-trees.
 
-Fingerprints within ``radius`` bits agree on one of radius + 1 blocks, so each goes, with what it agrees with, into
-radius + 1 shards (block, value). A shard is one BK-tree: children hang on integer Hamming distances, a query follows
+Fingerprints within ``radius`` bits agree on all but ``radius`` of any blocks they are cut into, so each goes, with what it
+agrees with, into a shard for each choice of blocks: four of one block, or, beyond a million fingerprints, twenty of three
+blocks in six, so that shards stay small as the corpus grows. A shard is one BK-tree: children hang on integer Hamming distances, a query follows
 only the edges within the radius. Trees of a task's shards are built and walked level by level in numpy arrays.
 The trees go to the tasks that hold their queries (one shuffle): together they grow with the corpus, so they are
 not broadcast. A shard of over ``max_shard`` fingerprints is cut into parts that all meet each other: memory stays
@@ -15,6 +16,7 @@ confirmed by counting shared shingles (``jaccard``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -205,13 +207,19 @@ def met(rows: DataFrame, radius: int, max_shard: int) -> DataFrame:
     return rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD) -> DataFrame:
-    """(a, b): fingerprints that radius-links connect; at most a row for each a and block, unless its shard is cut.
-    fps: one row for each fingerprint, column fp. Exact: fingerprints within the radius agree on a block at least."""
-    blocks = radius + 1
+def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD, blocks: int | None = None) -> DataFrame:
+    """(a, b): fingerprints that radius-links connect; at most a row for each a and choice of blocks, unless its shard is cut.
+    fps: one row for each fingerprint, column fp. Exact whatever the number of ``blocks`` (over the radius): fingerprints
+    within the radius agree on all but ``radius`` of them; more of them make more and smaller shards."""
+    if blocks is None:
+        blocks = radius + (1 if fps.count() <= 16 << 16 else 3)
     cuts = [64 * i // blocks for i in range(blocks + 1)]
-    value = [F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    return met(fps.select(F.explode(F.array(*value)).alias("key"), F.col("fp").alias("id"), "fp"), radius, max_shard)
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    keys = []
+    for i, agreed in enumerate(combinations(masks, blocks - radius)):
+        mask = sum(agreed)
+        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
+    return met(fps.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("id"), "fp"), radius, max_shard)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -258,7 +266,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", wo
     """``docs`` plus ``fp`` (signed long) and ``component_id``; a row for each row of ``docs``.
 
     A null or wordless text has fingerprint zero, which links like any other; repeated rows and equal texts share
-    theirs. A null id never names a component unless all its ids are null. Clashing columns are replaced.
+    theirs. Texts of any length are read whole; an empty table gives no rows. A null id never names a component unless all its ids are null. Clashing columns are replaced.
     """
     rows = written(with_fingerprint(docs.drop("fp", "root", "component_id"), text, words), "fingerprints")
     return rows.join(components(rows, radius, max_shard, doc), "fp").drop("root")

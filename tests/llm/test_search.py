@@ -58,6 +58,10 @@ def test_components(spark, max_shard):
     rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
     comp = {row["fp"]: row["component_id"] for row in S.components(rows, max_shard=max_shard).collect()}
     assert [comp[r["fp"]] for r in rows.orderBy("doc_id").collect()] == slow_components(fps)
+    if max_shard > 4:  # as beyond a million fingerprints: any number of blocks gives the same components
+        each = rows.select("fp").distinct()
+        four, six = ({(r["id"], r["root"]) for r in S.connected(S.links(each, blocks=n)).collect()} for n in (4, 6))
+        assert four == six and four
 
 
 def test_near_duplicates_odd_rows(spark, odd):
