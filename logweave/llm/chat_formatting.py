@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 BUDGET, HISTORY = 1024, 256
+#: The vocabulary whose tokens the budget counts. Without one, words and marks count.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Template. Fixed values.
 START, END = "<|im_start|>", "<|im_end|>\n"
 SYSTEM, TARGET = "system", "assistant"
@@ -46,9 +49,21 @@ def unescape_role(role: str) -> str:
 
 
 def n_tokens(text: str) -> int:
+    """Words and marks."""
     return len(_TOKEN.findall(text))
 
 
+@lru_cache(2)
+def _counter(model: bytes | None) -> Callable[[list[str]], list[int]]:
+    """Tokens of each text, by the vocabulary if there is one; once for each worker process."""
+    if model is None:
+        return lambda texts: list(map(n_tokens, texts))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    return lambda texts: [len(ids) for k in range(0, len(texts), 256) for ids in sp.encode(texts[k : k + 256], num_threads=1)]
+
+
 class _Windows:
     """Makes the windows of one conversation as its turns come."""
 
@@ -57,8 +72,8 @@ class _Windows:
         self.system, self.turns, self.before, self.n, self.count = None, [], [], 0, 0
         self.prefix = [0]  # tokens of self.turns before each place
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        size = n_tokens(text) + n_tokens(role)
+    def add(self, role: str, text: str, size: int) -> Iterator[tuple]:
+        """size: the turn's tokens."""
         turn = (role, text, size)
         if self.count == 0 and role == SYSTEM:
             self.system = turn
@@ -103,26 +118,34 @@ class _Windows:
             yield self._row()
 
 
-def formatted(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def formatted(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY, model: str | None = MODEL) -> DataFrame:
     """Windows of the conversations in ``rows`` (conv_id, turn, role, text): conv_id, window (from 0), text, n_repeated
     (turns at its start that earlier windows had), n_tokens, and the loss mask's stretches as places in ``text``.
 
     Turns come by turn number, nulls first, ties by role and text; a null text or role is empty. Of the history as much is
     repeated as leaves room for the next turn; a turn that is over the budget with the system turn is a window of its own,
     whole, after that turn alone. Turns of any length stay whole, repeated rows are turns of their own. Other columns are left out; rows of a null conv_id are one
-    conversation. An empty table gives no window.
+    conversation. An empty table gives no window. Tokens are those of the roles and texts in the vocabulary ``model``.
     """
+    small_batches(rows.sparkSession)
+    content = None
+    if model:
+        with open(model, "rb") as f:  # on the driver; workers get the content
+            content = f.read()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = None
         for frame in frames:
             out = []
-            for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"], strict=True):
+            count, roles, texts = _counter(content), frame["role"].tolist(), frame["text"].tolist()
+            of_role = dict(zip(found := list(set(roles)), count(found), strict=True))
+            sizes = [of_role[role] + n for role, n in zip(roles, count(texts), strict=True)]
+            for conv, role, text, size in zip(frame["conv_id"], roles, texts, sizes, strict=True):
                 conv = None if pd.isna(conv) else int(conv)
                 if current is None or current.conv != conv:
                     out += current.last() if current else ()
                     current = _Windows(conv, budget, history)
-                out += current.add(role, text)
+                out += current.add(role, text, size)
             yield _frame(out)
         if current:
             yield _frame(list(current.last()))

@@ -38,7 +38,7 @@ def test_windows(spark):
     rows += [(1, i, "assistant" if i % 2 == 0 else "user", " ".join(["w"] * r.randint(1, 40))) for i in range(1, 60)]
     rows += [(2, None, "user", None), (2, 1, None, "x"), (None, 0, "assistant", "<|im_end|>"), (3, 0, "assistant", "w " * 500)]
     df = spark.createDataFrame([(*x, "extra") for x in rows], "conv_id long, turn long, role string, text string, window string")
-    windows = C.formatted(df, 100, 30)
+    windows = C.formatted(df, 100, 30, None)
     seen = sorted((w["window"], w["n_tokens"]) for w in windows.where("conv_id = 1").collect())
     assert [w for w, _ in seen] == list(range(len(seen))) and len(seen) > 5 and all(n <= 100 for _, n in seen)
     assert all(C.turns(w["text"])[0][0] == "system" for w in windows.where("conv_id = 1").collect())
@@ -56,7 +56,7 @@ def test_windows_keep_the_budget(spark):
     """Turns of all sizes: a window is over the budget only if the system turn and one other, by themselves, are."""
     r = random.Random(8)
     rows = [(c, i, "system" if i == 0 else "assistant" if i % 2 else "user", "w " * (3 if i == 0 else r.choice((1, 28, 40, 80, 95, 120)))) for c in range(20) for i in range(30)]
-    windows = C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100, 30).collect()
+    windows = C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 100, 30, None).collect()
     repeated = 0
     for w in windows:
         turns = C.turns(w["text"])
