@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def bootstrap(log: DataFrame, groups: DataFrame, offsets: DataFrame) -> DataFram
     return pairs.join(offsets, ["group_id", "stream_id"], "left_anti").select("group_id", "stream_id", F.lit(0).cast("long").alias("global_seq"))
 
 
+def since(start_from, now: datetime) -> datetime | None:
+    """The time that a group's start option stands for: ``beginning``, no bound; ``now``, five seconds ago, so that nothing is missed;
+    a function, what it gives; else a time itself."""
+    if start_from == "beginning":
+        return None
+    if start_from == "now":
+        return now - timedelta(seconds=5)
+    return start_from() if callable(start_from) else start_from
+
+
 def gate(groups: DataFrame, now) -> DataFrame:
     """Groups that may work: active, and not waiting for a later retry."""
     return groups.where((F.col("status") == "active") & (F.col("retry_at").isNull() | (F.col("retry_at") <= F.lit(now))))

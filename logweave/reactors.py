@@ -89,6 +89,16 @@ class Registry:
         self.types[type_] = fields
         return type_
 
+    def build(self, type_: str, stream_id: str, payload: dict | None = None, **other) -> Message:
+        """A message whose fields are read as their types where that can be done, such as ``"5"`` as a number; see ``errors``."""
+        read = dict(payload or {})
+        for name, t in self.types.get(type_, {}).items():
+            try:
+                read[name] = read[name] if isinstance(read[name], t) else t(read[name])
+            except (KeyError, TypeError, ValueError):
+                pass
+        return Message(type_, stream_id, read, **other)
+
     def errors(self, m: Message) -> dict[str, str]:
         if m.type not in self.types:
             return {"type": "unknown"}
@@ -108,6 +118,7 @@ class Reactor:
     reacts: dict[str | None, list[Callable]] = {}
     before: Callable | None = None
     group_id = ""
+    batch_size: int | None = None  # messages that it's given at once; None: the router's
 
     def __init_subclass__(cls, **kw):
         super().__init_subclass__(**kw)

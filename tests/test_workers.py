@@ -3,8 +3,10 @@ from datetime import datetime, timedelta
 import pytest
 
 from logweave.reactors import Actor, Memory, Message, Projector, Unit, Workflow, reset_topology, run_reactor, said, topology
-from logweave.runtime import Ack, Config, Group, Handler, Router
-from logweave.workers import HouseKeeper, Supervisor, WorkQueue, inject
+from logweave.operators.consume import since
+from logweave.reactors import Registry
+from logweave.runtime import Ack, Config, Group, Handler, Router, inject
+from logweave.workers import HouseKeeper, Supervisor, WorkQueue
 
 NOW = datetime(2024, 1, 1)
 
@@ -219,3 +221,23 @@ def test_group_maintenance():
     assert g.status == "stopped" and g.error["reason"] == "why"
     g.start()
     assert g.may_work(NOW)
+
+
+def test_start_options_and_coercion():
+    assert since("beginning", NOW) is None and since("now", NOW) == NOW - timedelta(seconds=5) and since(lambda: NOW, None) == since(NOW, None) == NOW
+    r = Registry()
+    r.define("add", n=int)
+    assert r.build("add", "s", {"n": "5"}).payload == {"n": 5} and r.errors(r.build("add", "s", {"n": "x"})) and r.errors(r.build("add", "s"))
+
+
+def test_handlers_ask_by_name_and_batches_have_sizes():
+    class Asker(Handler):
+        batch_size = 2
+
+    seen = []
+    Asker.on("go")(lambda m, replaying: seen.append((m.seq, replaying)))
+    memory = Memory()
+    memory.append_next(Message("go", "s", {"n": i}, created_at=NOW) for i in range(3))
+    router = Router(memory)
+    router.register(Asker)
+    assert router.step(Asker, NOW) and seen == [(1, False), (2, False)]
