@@ -3,7 +3,9 @@ items, masks secrets, encodes what is left.
 
 STAGES lists (name, function); each takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame, which
 is written as Parquet and read again as the next one's docs. All but the last return the columns of ``documents``.
-Null and empty texts have no words, so the first stage rejects them; repeated rows are near duplicates of each other.
+Null and empty texts have no words, so the first stage rejects them; repeated rows are near duplicates of each other, and of
+ties one row stays. Texts of any length are worked on whole, further columns pass through whatever their names, nulls in
+them included, and empty tables stay empty.
 """
 
 from __future__ import annotations
