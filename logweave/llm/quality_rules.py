@@ -36,33 +36,39 @@ SENTENCE_END = "[.!?…:;。！？।؟][\"'”’»)\\]]*$"
 MAX_LOST = 0.3
 
 
-def _chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"{SPACE}+", ""))
-
-
 def _count(text: Column, pattern: str) -> Column:
     """How many characters match a character class."""
     return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
 
 
+def _two(text: Column, marks: str) -> Column:
+    """Whether two characters of a class stand in the text: most lines have none, and need no count."""
+    return text.rlike(f"{marks}[^{marks[1:-1]}]*{marks}")
+
+
 def line_fails(line: Column) -> Column:
     """The rules a line can fail; a blank line fails none.
 
     * boilerplate: it holds one of the phrases;
     * navigation: two separators or more, one for each four words at least;
-    * symbols: a symbol for each two words, or more;
+    * symbols: two or more, one for each two words at least;
     * shouting: two ``!!`` or more, and no lower-case ASCII letter;
-    * punctuation: over 40 words and no sentence end anywhere, or ten words and more that are not one sentence
-      and hold no closing mark at all.
+    * punctuation: ten words and more that hold no closing mark and don't end as a sentence does.
     """
     words = F.size(F.array_remove(F.split(line, f"{SPACE}+"), ""))
-    bare = F.rtrim(line)
+
+    def phrases(low: Column) -> Column:
+        found = F.contains(low, F.lit(BOILERPLATE[0]))
+        for p in BOILERPLATE[1:]:
+            found = found | F.contains(low, F.lit(p))
+        return found
+
     return F.coalesce(
-        F.lower(line).rlike("|".join(BOILERPLATE))
-        | ((_count(line, SEPARATORS) >= 2) & (_count(line, SEPARATORS) * 4 >= words))
-        | ((_count(line, SYMBOLS) >= 2) & (_count(line, SYMBOLS) * 2 >= words))
-        | (line.rlike("!![^!]+!!") & ~line.rlike("[a-z]"))
-        | ((words >= 10) & ~bare.rlike(SENTENCE_END) & ~line.rlike("[.!?…。！？।؟]")),
+        (line.rlike("!![^!]+!!") & ~line.rlike("[a-z]"))
+        | (~line.rlike("[.!?…。！？।؟]") & ~F.rtrim(line).rlike(SENTENCE_END) & (words >= 10))
+        | let(F.lower(line), phrases)
+        | (_two(line, SEPARATORS) & (_count(line, SEPARATORS) * 4 >= words))
+        | (_two(line, SYMBOLS) & (_count(line, SYMBOLS) * 2 >= words)),
         F.lit(False),
     )
 
@@ -93,7 +99,8 @@ def _repeat_words(words: Column) -> Column:
             lambda a: a["n"],
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = let(each, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - 4), lambda i: F.xxhash64(F.slice(h, i, 5))))
     found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(F.size(words) < 6, F.lit(0).cast("long")).otherwise(found)
 
@@ -102,7 +109,7 @@ def quality(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) ->
     """``docs`` plus ``cleaned`` (the text without failing lines), ``kept`` and the counts behind it.
 
     A null text has no words and fails (n_words < 10); an empty one likewise. Texts of any length stay whole.
-    Repeated rows are judged alike, each by itself. Other columns pass through; those named as a result are replaced.
+    Repeated rows are judged alike, each by itself; a text at exactly ``max_lost`` stays; an empty table gives no rows. Other columns pass through; those named as a result are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("_t", t)
