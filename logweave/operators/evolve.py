@@ -32,6 +32,19 @@ def fold(log: DataFrame, zero: Column, step: Callable[[Column, Column], Column],
     return log.groupBy("stream_id").agg(events.alias("_e"), F.max("seq").alias("seq")).select("stream_id", "seq", F.aggregate("_e", zero, step, finish).alias(name))
 
 
+def fold_handlers(log: DataFrame, zero: Column, handlers: dict[str, Callable], columns: list[str], before: Callable | None = None, name: str = "state") -> DataFrame:
+    """Ordered fold by a handler for each type: f(state, event) -> state, both columns. ``before`` runs ahead of every handled
+    event; events that no handler is for leave the state alone, and count for the stream's seq only."""
+
+    def step(a: Column, e: Column) -> Column:
+        out = a
+        for type_, f in handlers.items():
+            out = F.when(e["type"] == type_, f(before(a, e) if before else a, e)).otherwise(out)
+        return out
+
+    return fold(log, zero, step, lambda a: a, list(dict.fromkeys(["type", *columns])), name)
+
+
 def fold_stream(log: DataFrame, zero: Callable, step: Callable, columns: list[str], schema: str) -> DataFrame:
     """Ordered fold in Python: step(state, row) -> state, a tuple of the schema's columns after stream_id and seq.
 

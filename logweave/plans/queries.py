@@ -16,6 +16,7 @@ from ..operators import log as L
 from ..operators import messages as M
 from ..sources import log as S
 from ..sources.store import invalid
+from ..storage import written
 from ..streaming import projection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,10 +343,16 @@ def state_per_event(spark, d):
     return E.since_last(S.events_log(spark, d), "error", F.col("k")).select("global_seq", "state")
 
 
-@query(f"select stream_id, max(seq) as seq, count(*) as handled from ({EV}) where type in ('purchase', 'signup') group by 1")
+@query(f"""with e as (select *, coalesce(max(case when type = 'error' then seq end) over (partition by stream_id), 0) as r from ({EV}))
+select stream_id, max(seq) as seq, count(case when type in ('purchase', 'error') then 1 end) as handled, coalesce(max(case when type in ('purchase', 'error') then seq end), 0) as last,
+  coalesce(sum(case when type = 'purchase' and seq > r then k end), 0)::bigint as total from e group by 1""")
 def before_evolve_seq(spark, d):
-    """What runs before each handled event: seq of the last one, and their number."""
-    return S.events_log(spark, d).where("type in ('purchase', 'signup')").groupBy("stream_id").agg(F.max("seq").alias("seq"), F.count("*").alias("handled"))
+    """What runs before each handled event counts them and notes their seq; then purchases add up, and an error sets the sum back."""
+    zero = F.lit(0).cast("long")
+    state = lambda handled, last, total: F.struct(handled.alias("handled"), last.alias("last"), total.alias("total"))
+    before = lambda a, e: state(a["handled"] + 1, e["seq"], a["total"])
+    handlers = {"purchase": lambda a, e: state(a["handled"], a["last"], a["total"] + e["k"]), "error": lambda a, e: state(a["handled"], a["last"], zero)}
+    return E.fold_handlers(S.events_log(spark, d), state(zero, zero, zero), handlers, ["k"], before).select("stream_id", "seq", "state.*")
 
 
 @query(f"select stream_id, max(seq) as seq, {_SUM} as total, count(*) as n from ({EV}) group by 1")
@@ -575,7 +582,7 @@ def topology_reachability(spark, d):
     step, found, size = edges.toDF("source", "next"), edges.toDF("origin", "target"), 0
     while (now_ := found.count()) > size:  # a node for each message type: small
         size = now_
-        found = found.unionByName(found.join(step, F.col("target") == F.col("source")).select("origin", F.col("next").alias("target"))).distinct()
+        found = written(found.unionByName(found.join(step, F.col("target") == F.col("source")).select("origin", F.col("next").alias("target"))).distinct(), "reach")
     return found
 
 
