@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import union, written
+from .common import sieved, union, written
 
 #: Similarity of near copies, as a fraction; words in a shingle.
 SIMILAR, WORDS = (4, 5), 5
@@ -106,7 +106,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, least: tuple[int, in
 def confirmed(texts: DataFrame, near: DataFrame, words: int = WORDS, least: tuple[int, int] = SIMILAR, most: int = MOST) -> DataFrame:
     """(a, b): ids that links of the wanted similarity connect. texts (id, text): equal ids have equal sets; near (id, root): clusters."""
     cluster = near.unionByName(near.select(F.col("root").alias("id"), "root")).distinct().select("id", F.col("root").alias("cluster"))
-    texts = written(texts.join(cluster, "id").dropDuplicates(["id"]), "clusters")
+    cluster = written(cluster, "near")
+    texts = written(sieved(texts, "id", cluster).join(cluster, "id").dropDuplicates(["id"]), "clusters")
     parts = F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("text")) / BYTES) * 2)  # two parts meet in a task
     cut = texts.groupBy("cluster").agg(F.when((F.count("*") > most) | (F.sum(F.length("text")) > BYTES), parts).alias("parts")).where("parts > 1")
     texts = texts.join(written(cut, "cut"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

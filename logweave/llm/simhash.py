@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import drop_written, small_batches, table, union, written
+from .common import drop_written, sieved, small_batches, table, union, written
 
 WORDS, RADIUS, MAX_SHARD = 3, 3, 16384
 #: Fingerprints of a text's shingle set when near copies are sought by similarity; distance of two words (128 bits) up to which
@@ -162,14 +162,19 @@ def local_roots(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.
 
 
 def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, id, fingerprint's words) sorted by shard: yields (a, b), b the root of a in the shard. Whole shards at a time."""
+    """Rows (shard, id, fingerprint's words) sorted by shard and id: yields (a, b), b the smallest id that links of these shards
+    lead a to. Whole shards, and many of them, at a time: an id that they link has one row."""
 
     def out(columns: list[np.ndarray]) -> pa.RecordBatch:
         key, ids = columns[:2]
         shard = np.cumsum(np.r_[0, key[1:] != key[:-1]])
-        label = local_roots(shard, np.stack(columns[2:], 1).view(np.uint64), radius)
+        root = local_roots(shard, np.stack(columns[2:], 1).view(np.uint64), radius)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        each, at = np.unique(np.concatenate((ids[moved], ids[root[moved]])), return_inverse=True)
+        label = np.arange(len(each))
+        union(label, at[: len(moved)], at[len(moved) :])
         moved = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(each[moved]), pa.array(each[label[moved]])], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
     size = 0
@@ -203,7 +208,7 @@ def met(rows: DataFrame, radius: int, max_shard: int) -> DataFrame:
     rows = rows.select("key", "id", *names, F.coalesce(mine, F.lit(0)).cast("long").alias("mine"), F.explode(other).alias("other"))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     shard = F.xxhash64("key", low, high)  # a clash puts two shards in one tree, which stays right
-    rows = rows.select(shard.alias("shard"), "id", *names).repartition("shard").sortWithinPartitions("shard")
+    rows = rows.select(shard.alias("shard"), "id", *names).repartition("shard").sortWithinPartitions("shard", "id")
     return rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
 
 
@@ -322,13 +327,18 @@ def one_of_each(docs: DataFrame, text: str = "text", doc: str = "doc_id", words:
     near = connected(candidates(sets))
     links = jaccard.confirmed(rows.select(F.col("_set").alias("id"), F.col(text).alias("text")), near, words, least, most)
     found = connected(links).select(F.col("id").alias("_set"), F.col("root").alias("_root"))
-    each = rows.groupBy("_set").agg(F.min("_doc").alias("_least")).join(found, "_set", "left")
+    each = rows.groupBy("_set").agg(F.min("_doc").alias("_least"), F.count("*").alias("_n")).join(found, "_set", "left")
     each = each.withColumn("_root", F.coalesce("_root", "_set"))
-    groups = each.groupBy("_root").agg(F.min("_least").alias("_first"))
-    # only the set that has the group's least id can hold the row that stays
-    kept = each.join(groups, "_root").where(F.col("_least").eqNullSafe(F.col("_first"))).select("_set", "_root", "_first")
-    out = rows.join(kept, "_set").where(F.col("_doc").eqNullSafe(F.col("_first")))
-    return out.dropDuplicates(["_root"]).withColumnRenamed("_doc", doc).select(*docs.columns)
+    groups = each.groupBy("_root").agg(F.min("_least").alias("_first"), F.sum("_n").alias("_all")).where("_all > 1")
+    each = written(each.join(groups, "_root").select("_set", "_root", "_least", "_first"), "groups")  # sets of groups of two rows or more
+    # of each group one set has the least id, and of ties the smallest: only it can hold the row that stays
+    kept = each.where(F.col("_least").eqNullSafe(F.col("_first"))).groupBy("_root").agg(F.min(F.struct("_set", "_first")).alias("k"))
+    kept = kept.select(F.col("k._set").alias("_kept"), F.col("k._first").alias("_first"))
+    some = sieved(rows, "_set", each).withColumnRenamed("_set", "_own")
+    alone = some.join(each.select("_set"), F.col("_own") == F.col("_set"), "left_anti")
+    first = some.join(kept, F.col("_own") == F.col("_kept")).where(F.col("_doc").eqNullSafe(F.col("_first"))).dropDuplicates(["_own"])
+    names = [F.col("_doc").alias(c) if c == doc else F.col(c) for c in docs.columns]
+    return alone.select(*names).unionByName(first.select(*names)).unionByName(sieved(rows, "_set", each, "left_anti").select(*names))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
