@@ -16,7 +16,7 @@ An anchor with more different segments than a block holds gives no bucket: each
 ``length`` bytes and counted with others at its place, so no task holds a hot anchor. Texts move only where a segment of
 theirs is wanted: a sieve of a fixed number of residues, which is broadcast, tells most of the others at the scan.
 
-Passages, runs of over 50 words that stand elsewhere too, can be shorter than ``length``. So a first pass is made with
+Passages, runs of over 50 words that another document has too, can be shorter than ``length``. So a first pass is made with
 strings of PASSAGE bytes; strings of ``length`` bytes that repeat lie within its runs, and the second pass reads those only.
 """
 
@@ -163,11 +163,12 @@ def _ranks(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated(bucket: np.ndarray, begins: np.ndarray, counts: np.ndarray, texts: list[bytes], length: int = LENGTH, period: int = PERIOD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(bucket: np.ndarray, begins: np.ndarray, counts: np.ndarray, texts: list[bytes], docs: np.ndarray, length: int = LENGTH, period: int = PERIOD) -> tuple[tuple, tuple]:
     """Sorts the suffixes of a block of buckets; those equal to another of their bucket in ``length`` bytes.
 
-    Segment i is of ``bucket[i]``, holds ``counts[i]`` suffixes, the first at ``begins[i]`` from the anchor, and has
-    the bytes of all. Gives (segment, first, last): stretches of repeated suffixes, as places from the anchor.
+    Segment i is of ``bucket[i]`` and ``docs[i]``, holds ``counts[i]`` suffixes, the first at ``begins[i]`` from the anchor, and
+    has the bytes of all. Gives (segment, first, last): stretches of repeated suffixes, as places from the anchor; and the
+    same of those that are equal to one of another document.
     """
     cover = difference_cover(period)
     gap = np.array([min((c - r) % period for c in cover) for r in range(period)])  # to the next covered place
@@ -226,38 +227,52 @@ def repeated(bucket: np.ndarray, begins: np.ndarray, counts: np.ndarray, texts:
     group[1:] = (bucket[segment][order][1:] != bucket[segment][order][:-1]) | (d[order][1:] != d[order][:-1])
     alone = np.bincount(np.cumsum(group))
     many = order[(alone[np.cumsum(group)] > 1)]  # suffixes that have others at their place from the anchor
-    flagged = np.zeros(len(segment), bool)
+    flagged, crossed = np.zeros(len(segment), bool), np.zeros(len(segment), bool)
     if len(many):
         s, p = segment[many], place[many]
         tail = second[many] + depth
         keys = [bucket[s], d[many], *some(p, first[many] - p), rank[index[first[many]]], rank[index[second[many]]], *some(tail, end[many] - tail)]
         sort = np.lexsort(keys[::-1])
-        same = np.ones(len(sort) - 1, bool)
+        new = np.zeros(len(sort), bool)
+        new[0] = True
         for k in keys:
-            same &= k[sort][1:] == k[sort][:-1]
-        flagged[many[sort[1:][same]]] = True
-        flagged[many[sort[:-1][same]]] = True
-    hit = np.flatnonzero(flagged)
-    if len(hit):
+            new[1:] |= k[sort][1:] != k[sort][:-1]
+        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+        of = docs[s[sort]]
+        flagged[many[sort]] = np.bincount(which)[which] > 1
+        crossed[many[sort]] = (np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin))[which]
+
+    def runs(flags: np.ndarray) -> tuple:
+        hit = np.flatnonzero(flags)
+        if not len(hit):
+            return (np.empty(0, np.int64),) * 3
         new = np.flatnonzero((np.diff(hit) != 1) | (np.diff(segment[hit]) != 0)) + 1
         a, b = hit[np.concatenate(([0], new))], hit[np.concatenate((new, [len(hit)])) - 1]
         return segment[a], d[a], d[b]
-    return (np.empty(0, np.int64),) * 3
+
+    return runs(flagged), runs(crossed)
 
 
 def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc_id, th, anchor, ng, begin, bytes) sorted by bucket; yields stretches (doc_id, th, first, last) of segments that occur once."""
+    """Rows (bucket, doc_id, th, anchor, ng, across, begin, bytes) sorted by bucket; yields stretches (doc_id, th, begin, end, across)
+    of segments that occur once."""
 
     def out(rows: pa.Table) -> pa.RecordBatch:
         texts = rows["bytes"].to_pylist()
         begins = rows["begin"].to_numpy().astype(np.int64)
         counts = np.array([len(t) for t in texts]) - length + 1
-        segment, a, b = repeated(rows["bucket"].to_numpy(), begins, counts, texts, length)
+        # a document's number; a segment that several documents have is another's, whoever's it is
+        docs = rows["doc_id"].fill_null(-1).to_numpy() * np.int64(0x5851F42D4C957F2D) + rows["th"].to_numpy()
+        docs = np.unique(docs, return_inverse=True)[1]
+        docs = np.where(rows["across"].to_numpy(), -1 - np.arange(len(docs)), docs)
+        found = repeated(rows["bucket"].to_numpy(), begins, counts, texts, docs, length)
+        segment, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        across = np.arange(len(segment)) >= len(found[0][0])
         once = rows["ng"].to_numpy()[segment] == 1
-        segment, a, b = segment[once], a[once], b[once]
+        segment, a, b, across = segment[once], a[once], b[once], across[once]
         anchor = rows["anchor"].to_numpy()[segment]
         ids = [rows[c].combine_chunks().take(pa.array(segment)) for c in ("doc_id", "th")]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(anchor + a), pa.array(anchor + b + length)], ["doc_id", "th", "begin", "end"])
+        return pa.RecordBatch.from_arrays([*ids, pa.array(anchor + a), pa.array(anchor + b + length), pa.array(across)], ["doc_id", "th", "begin", "end", "across"])
 
     held: list[pa.RecordBatch] = []
     size = 0
@@ -281,7 +296,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
 def _fetched(docs: DataFrame, want: DataFrame, emit, schema: str) -> DataFrame:
     """docs' bytes at the wanted segments: of each, ``emit(segment, first start from the anchor, a part's bytes, first start in them)``
     gives rows, to which doc_id and th are put."""
-    want = written(want.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ng", "s", "n", "a")).alias("want")), "want")
+    want = written(want.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "ng", "across", "s", "n", "a")).alias("want")), "want")
     rows = sieved(docs, "th", want)
     rows = rows.join(want, rows["doc_id"].eqNullSafe(want["doc_id"]) & (rows["th"] == want["th"])).select(rows["doc_id"], rows["th"], "parts", "want")
     names = [field.split()[0] for field in schema.split(", ")]
@@ -308,7 +323,7 @@ def _fetched(docs: DataFrame, want: DataFrame, emit, schema: str) -> DataFrame:
     return rows.mapInArrow(fetch, schema)
 
 
-_TYPES = {"doc_id": pa.int64(), "th": pa.int64(), "h": pa.int64(), "ng": pa.int64(), "anchor": pa.int64(), "begin": pa.int32(), "bytes": pa.binary(), "sh": pa.int64()}
+_TYPES = {"across": pa.bool_(), "doc_id": pa.int64(), "th": pa.int64(), "h": pa.int64(), "ng": pa.int64(), "anchor": pa.int64(), "begin": pa.int32(), "bytes": pa.binary(), "sh": pa.int64()}
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -316,43 +331,53 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Repeated bytes of docs (doc_id, th, parts): (doc_id, th, begin, end), which may overlap and touch."""
+    """Repeated bytes of docs (doc_id, th, parts): (doc_id, th, begin, end, across), which may overlap and touch. Those that another
+    document has come with ``across`` as well; a stretch is repeated whether it has that or not."""
     small_batches(docs.sparkSession)
     all_ = written(segments(docs, length, gram), "segments")
-    shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed")).where("nh > 1")
-    shared = written(shared.select("h", "mixed"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
+    doc = F.xxhash64("doc_id", "th")
+    across = (F.min(doc) != F.max(doc)).alias("across")
+    shared = all_.groupBy("h").agg(F.count("*").alias("nh"), (F.min("g") != F.max("g")).alias("mixed"), across).where("nh > 1")
+    shared = written(shared.select("h", "mixed", "across"), "anchors")  # so that the join deals out both sides, and can split a hot anchor's rows
     seg = written(all_.join(shared, "h"), "shared")
     extent = F.col("s").alias("begin"), (F.col("s") + F.col("n") - 1 + length).alias("end")
-    full = seg.where("not mixed").select("doc_id", "th", *extent)
-    mixed = seg.where("mixed")
-    one = written(mixed.groupBy("h", "g").agg(F.count("*").alias("ng"), F.min(F.struct("doc_id", "th", "s", "n", "a")).alias("rep")), "distinct")
+    full = seg.where("not mixed").select("doc_id", "th", *extent, "across")
+    mixed = seg.where("mixed").drop("mixed", "across")
+    one = written(mixed.groupBy("h", "g").agg(F.count("*").alias("ng"), across, F.min(F.struct("doc_id", "th", "s", "n", "a")).alias("rep")), "distinct")
     # what occurs twice is all but what occurs once: told by the segment's own place, so that no copied segment's rows meet in one task
     once = one.where("ng = 1").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), F.col("rep.s").alias("_s"))
-    place = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col("s") == F.col("_s"))
-    copies = mixed.join(once, place, "left_anti").select("doc_id", "th", *extent)
+    its = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))
+    place = its & (F.col("s") == F.col("_s"))
+    # and so is what one document alone has twice
+    own = one.where("ng > 1 and not across").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), F.col("h").alias("_h"), F.col("g").alias("_g"))
+    copies = mixed.join(once, place, "left_anti").join(own, its & (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")
+    copies = copies.select("doc_id", "th", *extent, F.col("_h").isNull().alias("across"))
     hot = written(one.groupBy("h").agg(F.count("*").alias("segments")).where(F.col("segments") * (1.5 * length) > block).select("h"), "hot")
 
     def bucket(x: dict, low: int, raw: bytes, s: int) -> Iterator[tuple]:
-        yield x["h"], x["ng"], x["s"] + x["a"], low, raw[s : s + x["n"] + length - 1]
+        yield x["h"], x["ng"], x["across"], x["s"] + x["a"], low, raw[s : s + x["n"] + length - 1]
 
-    cold = one.join(hot, "h", "left_anti").select("h", "ng", "rep.*")
-    rows = _fetched(docs, cold, bucket, "doc_id long, th long, h long, ng long, anchor long, begin int, bytes binary")
-    rows = rows.select(F.col("h").alias("bucket"), "doc_id", "th", "anchor", "ng", "begin", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    found = full.unionByName(copies).unionByName(rows.mapInArrow(lambda it: _sorted_buckets(it, length), "doc_id long, th long, begin long, end long"))
+    cold = one.join(hot, "h", "left_anti").select("h", "ng", "across", "rep.*")
+    rows = _fetched(docs, cold, bucket, "doc_id long, th long, h long, ng long, across boolean, anchor long, begin int, bytes binary")
+    rows = rows.select(F.col("h").alias("bucket"), "doc_id", "th", "anchor", "ng", "across", "begin", "bytes").repartition("bucket").sortWithinPartitions("bucket")
+    found = full.unionByName(copies).unionByName(rows.mapInArrow(lambda it: _sorted_buckets(it, length), "doc_id long, th long, begin long, end long, across boolean"))
     if hot.isEmpty():
         return found
 
     def names(x: dict, low: int, raw: bytes, s: int) -> Iterator[tuple]:
         hashes = suffix_hashes(np.frombuffer(raw[s : s + x["n"] + length - 1], np.uint8), length).view(np.int64)
         for d, sh in enumerate(hashes.tolist()):
-            yield x["h"], x["ng"], x["s"] + x["a"], low + d, sh
+            yield x["h"], x["ng"], x["across"], x["s"] + x["a"], low + d, sh
 
-    each = _fetched(docs, one.join(hot, "h").select("h", "ng", "rep.*"), names, "doc_id long, th long, h long, ng long, anchor long, begin int, sh long")
+    each = _fetched(docs, one.join(hot, "h").select("h", "ng", "across", "rep.*"), names, "doc_id long, th long, h long, ng long, across boolean, anchor long, begin int, sh long")
     each = written(each, "suffixes")
-    lone = each.groupBy("h", "begin", "sh").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "anchor")).alias("rep")).where("c = 1")
-    lone = lone.select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), (F.col("rep.anchor") + F.col("begin")).alias("_s"))
-    each = each.where("ng = 1").select("doc_id", "th", (F.col("anchor") + F.col("begin")).alias("s"))
-    same = each.join(lone, place, "left_anti").select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + length).alias("end"))
+    named = each.groupBy("h", "begin", "sh").agg(F.count("*").alias("c"), (F.max("across") | (F.min(doc) != F.max(doc))).alias("across"), F.min(F.struct("doc_id", "th", "anchor")).alias("rep"))
+    named = written(named.where("c = 1 or not across"), "named")
+    lone = named.where("c = 1").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), (F.col("rep.anchor") + F.col("begin")).alias("_s"))
+    own = named.where("c > 1").select(F.col("rep.doc_id").alias("_doc"), F.col("rep.th").alias("_th"), F.col("h").alias("_h"), F.col("begin").alias("_b"), F.col("sh").alias("_sh"))
+    each = each.where("ng = 1").drop("across").withColumn("s", F.col("anchor") + F.col("begin"))
+    same = each.join(lone, place, "left_anti").join(own, its & (F.col("h") == F.col("_h")) & (F.col("begin") == F.col("_b")) & (F.col("sh") == F.col("_sh")), "left")
+    same = same.select("doc_id", "th", F.col("s").alias("begin"), (F.col("s") + length).alias("end"), F.col("_h").isNull().alias("across"))
     return found.unionByName(same)
 
 
@@ -369,9 +394,9 @@ _SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
 def _spans(found: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """docs (doc_id, th and others) that have stretches, with two arrays of where these begin and end."""
-    by = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end")).alias("_s"))
-    by = written(by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("_s.begin").alias("_a"), F.col("_s.end").alias("_b")), name)
+    """docs (doc_id, th and others) that have stretches, with arrays of where these begin and end and whether another document has them."""
+    by = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "end", "across")).alias("_s"))
+    by = written(by.select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.col("_s.begin").alias("_a"), F.col("_s.end").alias("_b"), F.col("_s.across").alias("_x")), name)
     return sieved(docs, "th", by.withColumnRenamed("_th", "th")).join(by, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("th") == F.col("_th"))).drop("_doc", "_th")
 
 
@@ -379,24 +404,24 @@ def _runs(docs: DataFrame, found: DataFrame, length: int, words: int) -> DataFra
     """Of the documents with stretches: doc_id, th, passages (runs of over ``words`` words), parts (runs of ``length`` bytes or more)."""
 
     @F.arrow_udf(f"struct<passages:{_SPANS},parts:array<struct<at:bigint,bytes:binary>>>")
-    def cut(parts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+    def cut(parts: pa.Array, begins: pa.Array, ends: pa.Array, across: pa.Array) -> pa.Array:
         passages, long = [], []
-        for ps, a, b in zip(parts, begins, ends, strict=True):
-            raw = ps.as_py()[0]["bytes"]
-            runs = merged(a.values.to_numpy(), b.values.to_numpy())
-            passages.append([{"begin": x, "end": y} for x, y in runs if len(raw[x:y].split()) > words])
-            long.append([{"at": x, "bytes": raw[x:y]} for x, y in runs if y - x >= length])
+        for ps, a, b, x in zip(parts, begins, ends, across, strict=True):
+            raw, a, b, x = ps.as_py()[0]["bytes"], a.values.to_numpy(), b.values.to_numpy(), x.values.to_numpy(zero_copy_only=False)
+            shared = merged(a[x], b[x]) if x.any() else []
+            passages.append([{"begin": i, "end": j} for i, j in shared if len(raw[i:j].split()) > words])
+            long.append([{"at": i, "bytes": raw[i:j]} for i, j in merged(a, b) if j - i >= length])
         kind = pa.list_(pa.struct([("at", pa.int64()), ("bytes", pa.binary())]))
         return pa.StructArray.from_arrays([pa.array(passages, _SPAN), pa.array(long, kind)], ["passages", "parts"])
 
-    rows = _spans(found, docs, "spans").withColumn("_c", cut("parts", "_a", "_b"))
+    rows = _spans(found, docs, "spans").withColumn("_c", cut("parts", "_a", "_b", "_x"))
     return rows.select("doc_id", "th", "_c.passages", "_c.parts")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
     """``docs`` plus n_bytes, ``removed`` (array of begin and end, in bytes: maximal runs, in order), ``kept`` (the bytes left) and
-    ``passages`` (array of begin and end: runs of over ``words`` words made of strings of ``passage`` bytes that stand elsewhere
-    too, which need not be removed).
+    ``passages`` (array of begin and end: runs of over ``words`` words made of strings of ``passage`` bytes that another
+    document has too, which need not be removed).
 
     A null text counts as empty; texts of under ``length`` bytes lose nothing. Texts of any length are judged whole and as
     they came in. Repeated rows are each other's copies. Columns of those names, or th, are replaced.
