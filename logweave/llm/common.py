@@ -14,7 +14,7 @@ from ..storage import shared_dir, written  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Keys of a broadcast sieve.
-SIEVE = 1 << 18
+SIEVE = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

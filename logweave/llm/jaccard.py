@@ -19,8 +19,7 @@ from .common import sieved, union, written
 #: Similarity of near copies, as a fraction; words in a shingle.
 SIMILAR, WORDS = (4, 5), 5
 #: Texts and characters of a cluster that a task compares at once.
-MOST, BYTES = 4096, 16 << 20
-_CHUNK = 1 << 16
+MOST, BYTES = 2048, 4 << 20
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -50,7 +49,7 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = SIMILAR, tries: int
     label, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
     if len(sets) < 2 or not sizes.any():
         return label
-    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     order = np.argsort(hashes, kind="stable")
     hashes, owner = hashes[order], owner[order]
 

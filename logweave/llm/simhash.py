@@ -155,7 +155,7 @@ def local_roots(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.
     there[there] = shard[nodes[begin[there]]] == shard[there]
     query, root = np.flatnonzero(there), nodes[begin[there]]
     most = int(np.unique(shard[nodes], return_counts=True)[1].max())
-    step = max(1, min(_CHUNK, (1 << 21) // most))
+    step = max(1, min(_CHUNK, (1 << 19) // most))
     for k in range(0, len(query), step):
         union(label, *search(fps, keys, kids, query[k : k + step], root[k : k + step], radius))
     return label
