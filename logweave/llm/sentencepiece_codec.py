@@ -27,7 +27,7 @@ STEP = 1024
 #: Words whose encodings a worker keeps at least (and twice as many at most), and words that advance together.
 CACHE, CHUNK = 120_000, 8192
 #: Characters of kept words beyond which they count as too many; length of a word from which on it's cut at its seams.
-KEPT, LONG = 1 << 24, 16
+KEPT, LONG = 1 << 24, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)  # odd: a product with it is one to one
 _MARKS = ".,;:!?#*$%&|<>\"'()[]{}"
@@ -181,8 +181,13 @@ class Codec:
         Shorter words are padded with what is in no piece."""
         sizes = np.array([len(w) for w in words])
         n, size = len(words), int(sizes.max())
-        codes = np.full((n, size), _PAD, np.uint32)
-        codes[np.arange(size) < sizes[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(codes) == n * size:
+            codes = codes.reshape(n, size)
+        else:
+            padded = np.full((n, size), _PAD, np.uint32)
+            padded[np.arange(size) < sizes[:, None]] = codes
+            codes = padded
         codes = codes.T.astype(np.uint64, order="C") + np.uint64(1)
         found: list = []  # by length - 1: ids of the substrings, a row for each start
         h = np.zeros((size, n), np.uint64)
@@ -265,7 +270,7 @@ class Codec:
     def _advance(self, words: set[str], space: int) -> None:
         cache, by = self.cache[space], {}
         for w in words:  # long ones, of which few have one length, go with those of up to twice theirs
-            by.setdefault(len(w) if len(w) < 2 * LONG else 1 << len(w).bit_length(), []).append(w)
+            by.setdefault(len(w) if len(w) < LONG else 1 << len(w).bit_length(), []).append(w)
         for size, group in by.items():
             step = max(1, CHUNK * 16 // max(16, size))
             for k in range(0, len(group), step):
