@@ -19,6 +19,14 @@ def read_stream(log: DataFrame, stream_id: str, after: int | None = None, upto:
     return out.orderBy("global_seq")
 
 
+def history_for(log: DataFrame, of, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """The history of a stream, given by its id or by anything that has a ``stream_id`` or an ``id``."""
+    stream_id = of if isinstance(of, str) else getattr(of, "stream_id", None) or getattr(of, "id", None)
+    if not isinstance(stream_id, str):
+        raise TypeError(f"{of!r} names no stream")
+    return read_stream(log, stream_id, after, upto)
+
+
 def correlation_batch(log: DataFrame, message_id: str) -> DataFrame:
     """All messages that share the correlation of one; none if it is unknown."""
     of = log.where(F.col("id") == message_id).select("correlation_id")

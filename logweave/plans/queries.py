@@ -573,7 +573,14 @@ _EV = "(values " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + ") as e(sou
 @query(f"select * from {_EV}")
 def topology_edges(spark, d):
     """The flow of messages between two reactors, read from the source of their handlers."""
-    return spark.createDataFrame(R.topology(Shop, Orders)[1], "source string, target string")
+    return R.topology_frames(spark, Shop, Orders)[1]
+
+
+@query("""select * from (values ('place', 'command', 'Shop'), ('ship', 'command', 'Shop'), ('placed', 'event', 'Shop'), ('shipped', 'event', 'Shop'),
+  ('placed-Shop-aut', 'automation', 'Shop'), ('Orders-rm', 'readmodel', 'Orders'), ('shipped-Orders-aut', 'automation', 'Orders')) as n(id, kind, group_id)""")
+def topology_nodes(spark, d):
+    """Events belong to the first reactor that has them."""
+    return R.topology_frames(spark, Shop, Orders)[0]
 
 
 @query(f"with recursive r as (select source as origin, target from {_EV} union select r.origin, e.target from r join {_EV} on e.source = r.target) select origin, target from r")

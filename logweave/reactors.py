@@ -516,6 +516,12 @@ def topology(*reactors: type[Reactor]) -> tuple[list[tuple[str, str, str]], list
     return _TOPOLOGIES[reactors]
 
 
+def topology_frames(spark, *reactors: type[Reactor]):
+    """The topology as DataFrames: nodes (id, kind, group_id) and edges (source, target)."""
+    nodes, edges = topology(*reactors)
+    return spark.createDataFrame(nodes, "id string, kind string, group_id string"), spark.createDataFrame(edges, "source string, target string")
+
+
 #: What a reactor over DataFrames gives: messages and where they go.
 SAID = "action string, id string, stream_id string, seq long, type string, payload string, metadata string, created_at timestamp_ntz, causation_id string, correlation_id string"
 

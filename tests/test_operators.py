@@ -24,6 +24,10 @@ def test_bounds(log):
     assert [r["seq"] for r in L.read_stream(log, "s1", upto=2).collect()] == [1, 2]
     assert [r["seq"] for r in L.read_stream(log, "s1", after=1).collect()] == [2, 3]
     assert L.read_stream(log, "none").isEmpty()
+    one = type("One", (), {"stream_id": "s1"})()
+    assert [r["seq"] for r in L.history_for(log, one, after=2).collect()] == [3] and L.history_for(log, "s2").count() == 2
+    with pytest.raises(TypeError):
+        L.history_for(log, 5)
 
 
 def test_recent(log):

@@ -241,3 +241,6 @@ def test_handlers_ask_by_name_and_batches_have_sizes():
     router = Router(memory)
     router.register(Asker)
     assert router.step(Asker, NOW) and seen == [(1, False), (2, False)]
+    assert router.stats() == [("Asker", "active", None, 2, 2, 1)]
+    router.register(Counter)
+    assert router.stats()[1] == ("Counter", "active", None, 0, 0, 0)
