@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Keys of a broadcast sieve.
 SIEVE = 1 << 20
+#: Members of a large group that are tried as the centre of its largest star.
+CENTRES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,19 @@ def sieved(rows: DataFrame, key: str, wanted: DataFrame, how: str = "left_semi")
     return rows.withColumn("_residue", F.pmod(key, F.lit(SIEVE))).join(F.broadcast(residues), "_residue", how).drop("_residue")
 
 
+def meetings(key: str, star: str, others: str, stars: str) -> Column:
+    """Shards (hashes) that a row (``key`` of its group, ``id``) goes to, so that it meets all rows of its group, but rows of the
+    ``star`` (boolean) no others of it: these lie in ``stars`` parts, the other rows in ``others``. No parts, no shards."""
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col(star), F.col(stars)).otherwise(F.col(others)))
+
+    def each(n: str, use) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), use)).otherwise(F.array().cast("array<bigint>"))
+
+    with_star = each(others, lambda o: F.xxhash64(F.col(key), F.lit(1), o, mine))
+    alone = each(others, lambda o: F.xxhash64(F.col(key), F.lit(0), F.least(mine, o), F.greatest(mine, o)))
+    return F.when(F.col(star), with_star).otherwise(F.concat(alone, each(stars, lambda o: F.xxhash64(F.col(key), F.lit(1), mine, o))))
+
+
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
     """Deletes what ``written`` wrote, once nothing will read it again."""
     jvm = spark._jvm

@@ -1,8 +1,8 @@
 """Exact Jaccard similarity of word shingles, for texts that SimHash found near each other.
 
 Each different shingle set's text goes once to the task of its cluster, where shared shingles are counted: no pair becomes
-a row, and only links of the wanted similarity stay. A cluster beyond ``most`` texts or BYTES of text is cut into parts
-that all meet each other.
+a row, and only links of the wanted similarity stay. Of a cluster beyond ``most`` texts or BYTES of text the largest of a few
+stars is found first; the texts in no star are cut into parts that meet each other and all parts of the star.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sieved, union, written
+from .common import CENTRES, meetings, sieved, union, written
 
 #: Similarity of near copies, as a fraction; words in a shingle.
 SIMILAR, WORDS = (4, 5), 5
@@ -107,12 +107,63 @@ def confirmed(texts: DataFrame, near: DataFrame, words: int = WORDS, least: tupl
     cluster = near.unionByName(near.select(F.col("root").alias("id"), "root")).distinct().select("id", F.col("root").alias("cluster"))
     cluster = written(cluster, "near")
     texts = written(sieved(texts, "id", cluster).join(cluster, "id").dropDuplicates(["id"]), "clusters")
-    parts = F.ceil(F.greatest(F.count("*") / most, F.sum(F.length("text")) / BYTES) * 2)  # two parts meet in a task
-    cut = texts.groupBy("cluster").agg(F.when((F.count("*") > most) | (F.sum(F.length("text")) > BYTES), parts).alias("parts")).where("parts > 1")
-    texts = texts.join(written(cut, "cut"), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    texts = texts.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    rows = texts.select(F.xxhash64("cluster", low, high).alias("shard"), "id", "text")
+    sizes = texts.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
+    cut = written(sizes.where((F.col("n") > most) | (F.col("size") > BYTES)), "cut")
+    star = None
+    if cut.isEmpty():
+        rows = texts.select(F.col("cluster").alias("shard"), "id", "text")
+    else:
+        rows, star = divided(texts, cut, words, least, most)
     rows = rows.repartition("shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(lambda it: _confirm(it, words, least), "a long, b long")
+    found = rows.mapInArrow(lambda it: _confirm(it, words, least), "a long, b long")
+    return found if star is None else found.unionByName(star)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], words: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, own, cluster, id, text) sorted by shard and own, centres first: yields (cluster, id, centre, size) where the
+    text is like the centre."""
+    shard, centres = None, []
+    for batch in batches:
+        found = []
+        for key, own, cluster, id_, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if key != shard:
+                shard, centres = key, []
+            mine = shingles(text, words)
+            if not own:
+                centres.append((id_, mine))
+                continue
+            for centre, its in centres:
+                both = len(np.intersect1d(mine, its, assume_unique=True))
+                if both and both * least[1] >= (len(mine) + len(its) - both) * least[0]:
+                    found.append((cluster, id_, centre, len(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [()] * 4)], ["cluster", "id", "centre", "size"])
+
+
+def divided(texts: DataFrame, cut: DataFrame, words: int, least: tuple[int, int], most: int) -> tuple[DataFrame, DataFrame]:
+    """``texts`` (cluster, id, text) as rows (shard, id, text), those of the large clusters (``cut``: cluster, n, size) once for each
+    shard that they meet others in; and the links (a, b) of the stars, which hang on their smallest id.
+
+    A few texts of each large cluster are tried as centres of a star: they go to all parts of it, the others to one. Texts of the
+    largest star are linked, so only the others need to meet every text.
+    """
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / most, size / BYTES) * 2)  # two parts meet in a task
+
+    large = texts.join(cut.withColumn("parts", parts(F.col("n"), F.col("size"))).select("cluster", "parts"), "cluster")
+    tried = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(CENTRES)]))
+    tried = written(large.groupBy("cluster").agg(tried.alias("ids")).select(F.explode("ids").alias("id")), "centres")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    centres = large.join(tried, "id").withColumn("part", part).withColumn("own", F.lit(0))
+    rows = large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("own", F.lit(1)).unionByName(centres)
+    rows = rows.select(F.xxhash64("cluster", "part").alias("shard"), "own", "cluster", "id", "text").repartition("shard").sortWithinPartitions("shard", "own")
+    near = written(rows.mapInArrow(lambda it: _stars(it, words, least), "cluster long, id long, centre long, size long"), "stars")
+    best = near.groupBy("cluster", "centre").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("id").alias("least"))
+    best = best.groupBy("cluster").agg(F.max(F.struct("n", "centre", "size", "least")).alias("best"))
+    others = parts(F.col("n") - F.col("best.n"), F.col("size") - F.col("best.size"))
+    best = written(cut.join(best, "cluster").select("cluster", "best.centre", "best.least", others.alias("others"), parts(F.col("best.n"), F.col("best.size")).alias("stars")), "best")
+    star = written(near.join(best, ["cluster", "centre"]).select("id", "least"), "star")
+    rows = texts.join(best.select("cluster", "others", "stars"), "cluster").join(star.select("id", F.lit(True).alias("star")), "id", "left")
+    rows = rows.withColumn("star", F.coalesce("star", F.lit(False))).select(F.explode(meetings("cluster", "star", "others", "stars")).alias("shard"), "id", "text")
+    whole = texts.join(cut.select("cluster"), "cluster", "left_anti").select(F.col("cluster").alias("shard"), "id", "text")
+    return whole.unionByName(rows), star.where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))

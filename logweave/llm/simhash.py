@@ -5,8 +5,9 @@ agrees with, into a shard for each choice of blocks: four of one block, or, beyo
 blocks in six, so that shards stay small as the corpus grows. A shard is one BK-tree: children hang on integer Hamming distances, a query follows
 only the edges within the radius. Trees of a task's shards are built and walked level by level in numpy arrays.
 The trees go to the tasks that hold their queries (one shuffle): together they grow with the corpus, so they are
-not broadcast. A shard of over ``max_shard`` fingerprints is cut into parts that all meet each other: memory stays
-bounded and no link is lost. A shard gives each fingerprint's local root, not pairs.
+not broadcast. Of a shard of over ``max_shard`` fingerprints the largest of a few stars hangs on its centre; the others
+are cut into parts that meet each other and all parts of the star: memory stays bounded, no link is lost, and rows grow
+with the shard times the parts of what is in no star. A shard gives each fingerprint's local root, not pairs.
 
 ``one_of_each`` takes near copies by similarity instead: each text has SEEDS fingerprints of its set of shingles, shards
 are blocks of 16 bits of any of them, trees find what lies within WIDE_RADIUS of 128 bits, and each link found is
@@ -21,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import drop_written, sieved, small_batches, table, union, written
+from .common import CENTRES, drop_written, meetings, sieved, small_batches, table, union, written
 
 WORDS, RADIUS, MAX_SHARD = 3, 3, 16384
 #: Fingerprints of a text's shingle set when near copies are sought by similarity; distance of two words (128 bits) up to which
@@ -197,19 +198,45 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
 def met(rows: DataFrame, radius: int, max_shard: int) -> DataFrame:
     """(a, b): ids that links within shards connect. rows: key (of a shard), id, and the fingerprint's words in further columns.
 
-    A shard of over ``max_shard`` rows is cut into parts, and any two parts meet in a shard of their own.
+    A shard of over ``max_shard`` rows is cut: see ``divided``.
     """
     names = rows.columns[2:]
-    sizes = rows.groupBy("key").count().where(F.col("count") > max_shard).withColumn("parts", F.ceil(F.col("count") * 2 / max_shard))
-    sizes = written(sizes.select("key", "parts"), "shards")
-    rows = rows.join(sizes, "key", "left")
-    mine = F.pmod(F.xxhash64("id"), F.col("parts"))
-    other = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
-    rows = rows.select("key", "id", *names, F.coalesce(mine, F.lit(0)).cast("long").alias("mine"), F.explode(other).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    shard = F.xxhash64("key", low, high)  # a clash puts two shards in one tree, which stays right
-    rows = rows.select(shard.alias("shard"), "id", *names).repartition("shard").sortWithinPartitions("shard", "id")
-    return rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
+    sizes = written(rows.groupBy("key").count().where(F.col("count") > max_shard), "shards")
+    star = None
+    if sizes.isEmpty():
+        rows = rows.withColumn("shard", F.col("key"))
+    else:
+        rows, star = divided(rows, sizes, radius, max_shard)
+    rows = rows.select("shard", "id", *names).repartition("shard").sortWithinPartitions("shard", "id")
+    found = rows.mapInArrow(lambda it: _link(it, radius), "a long, b long")
+    return found if star is None else found.unionByName(star)
+
+
+def divided(rows: DataFrame, sizes: DataFrame, radius: int, max_shard: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with their shard, those of the large shards (``sizes``: key, count) once for each shard that they meet others in;
+    and the links (a, b) of the stars, which hang on their smallest id.
+
+    A few rows of each large shard are tried as centres of a star. Rows of the largest star are linked, so only the others need
+    to meet every row.
+    """
+    names = rows.columns[2:]
+    cut = written(rows.join(sizes.select("key"), "key"), "cut")
+    tried = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", *names)) for i in range(CENTRES)]
+    centres = written(cut.groupBy("key").agg(F.array(*tried).alias("centres")), "centres")
+
+    def within(i: int):
+        return sum((F.bit_count(F.col(w).bitwiseXOR(F.col("centres")[i][w])) for w in names), F.lit(0)) <= radius
+
+    held, cut = cut, written(cut.join(centres, "key").select("key", "id", *names, F.array(*map(within, range(CENTRES))).alias("near")), "near")
+    drop_written(rows.sparkSession, held)
+    each = [F.struct(F.count_if(F.col("near")[i]).alias("n"), F.lit(i).alias("i"), F.min(F.when(F.col("near")[i], F.col("id"))).alias("least")) for i in range(CENTRES)]
+    best = cut.groupBy("key").agg(F.array_max(F.array(*each)).alias("best"), F.count("*").alias("all"))
+    parts = [F.ceil(n * 2 / max_shard).alias(name) for n, name in ((F.col("all") - F.col("best.n"), "others"), (F.col("best.n"), "stars"))]
+    cut = cut.join(written(best.select("key", "best", *parts), "stars"), "key").withColumn("star", F.col("near")[F.col("best.i")])
+    some = cut.select("id", *names, F.explode(meetings("key", "star", "others", "stars")).alias("shard"))
+    whole = rows.join(sizes.select("key"), "key", "left_anti").withColumn("shard", F.col("key"))
+    star = cut.where("star").select(F.col("id").alias("a"), F.col("best.least").alias("b"))
+    return whole.select("id", *names, "shard").unionByName(some), star.where("a != b")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD, blocks: int | None = None) -> DataFrame:
@@ -230,6 +257,8 @@ def links(fps: DataFrame, radius: int = RADIUS, max_shard: int = MAX_SHARD, bloc
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each vertex of ``edges`` (a, b) reaches, by large and small stars, in rounds.
 
+    An id may come with many roots, one of each task that linked it: a small star hangs them on the least before any join, so
+    that the rounds start from about a row an id. Roots are smaller ids, and few of an id; a hub's rows lie with its members.
     Every round is written to the shared folder and reread; rounds grow with the logarithm of the longest chain.
     """
 
@@ -237,7 +266,10 @@ def connected(edges: DataFrame) -> DataFrame:
         r = df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         return r[0], r[1]
 
-    e = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    raw = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "raw")
+    hung = raw.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    e = written(hung.select("a", F.col("m").alias("b")).unionByName(hung.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+    drop_written(e.sparkSession, raw)
     seen = mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
